@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakgauge.llm import copies, groupsplit, lookalike, mixing, overlap, packing, pieces, terms
+from leakgauge.llm import copies, groupsplit, lookalike, mixing, overlap, packing, personal, pieces, terms
 from leakgauge.sources.tables import table
 
 LIMIT, OVERLAP = 2000, 200
@@ -22,6 +22,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "notes"), "note", ["note_id"], LIMIT, OVERLAP).filter("piece_no = 2 AND note_id IS NOT NULL").select("note_id").distinct()
 
 
+def _detector(spark: SparkSession, d: str) -> personal.Detector:
+    return personal.fit_detector(table(spark, d, "notes"), table(spark, d, "personas"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_spans(table(spark, d, "notes"), "note", ["note_id"], _detector(spark, d)).select("note_id", "kind", "surface").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "notes"), "note", ["note_id", "storetime"], _detector(spark, d))
+
+
 def note_label() -> F.Column:
     """Stratum of a note: how its identifiers are written."""
     n = F.col("note")
@@ -93,5 +105,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_pieces, p3_found, p3_split, p4_found, p4_identifiers, p5_found, p5_terms, p6_found, p6_report, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_canonical]
+    found = [p1_found, p1_pieces, p2_found, p2_redacted, p3_found, p3_split, p4_found, p4_identifiers, p5_found, p5_terms, p6_found, p6_report, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_canonical]
     return {f.__name__: f for f in found}
