@@ -2,16 +2,47 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("text_queries", "prepare_queries", "curve_queries", "metric_queries", "risk_queries", "table_queries", "report_queries", "source_queries")
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Adds a query under its operator's name, with its DuckDB statement where SQL can express it."""
+
+    def add(query: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        _QUERIES[name] = query
+        if sql:
+            _SQL[name] = sql
+        return query
+
+    return add
+
+
+def _load() -> None:
+    for module in _MODULES:
+        importlib.import_module(f"leakgauge.plans.{module}")
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
+    return _QUERIES["C15_curves"](spark, sf_dir)
