@@ -1 +1,125 @@
-"""Queries."""
+"""Queries of relative risk, verifier, folds and experiment."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leakgauge.catalog import register
+from leakgauge.functions.draws import sql_draw
+from leakgauge.plans import experiment as E
+from leakgauge.plans import features as T
+from leakgauge.plans import risk as R
+from leakgauge.plans.inputs import COMPLETIONS, SCORED, completions, scored
+from leakgauge.plans.text_queries import sql_first_two, sql_title
+from leakgauge.session import stable
+from leakgauge.sources.tables import table
+
+
+@register("C21_factor_median", f"WITH {SCORED} SELECT pii_type, round(quantile_cont(exp(ll_ft)/exp(ll_base), 0.5), 3) AS factor, count(*)::BIGINT AS n FROM scored WHERE pi > 1e-7 GROUP BY pii_type")
+def c21(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d).withColumn("p_base", F.exp("ll_base"))
+    return R.factor(s, ["pii_type"], floor=1e-7).select("pii_type", F.round("factor", 3).alias("factor"), "n")
+
+
+@register("C20_bootstrap_interval")
+def c20(spark: SparkSession, d: str) -> DataFrame:
+    return R.bootstrap_quantile(scored(spark, d).withColumn("gain", F.col("ll_ft") - F.col("ll_base")), "gain", ["pii_type"])
+
+
+@register("T10_stratified_folds", f"""WITH h AS (SELECT entry_id, label, {sql_draw('fold42', 'entry_id')} AS h FROM labeled WHERE label IS NOT NULL)
+ SELECT entry_id, label, ((row_number() OVER (PARTITION BY label ORDER BY h, entry_id) - 1) % 5)::INTEGER AS fold_id FROM h""")
+def t10(spark: SparkSession, d: str) -> DataFrame:
+    return R.stratified_folds(table(spark, d, "labeled").filter("label IS NOT NULL").select("entry_id", "label"), "entry_id", "label")
+
+
+def _features(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    e = table(spark, d, "embeddings")
+    names = [f"ft_{i}" for i in range(4)]
+    df = e.select(F.col("vec_id").alias("value"), (F.col("label") < 5).cast("int").alias("y_true"), *[F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(names)])
+    return stable(R.stratified_folds(df, "value", "y_true")), names
+
+
+@register("C7_M15_crossfit_verifier")
+def c7(spark: SparkSession, d: str) -> DataFrame:
+    df, names = _features(spark, d)
+    return R.oof_scores(df, R.fold_models(df, names), names).select("value", "y_true", "fold_id", F.round("score_oof_member_proba", 6).alias("score_oof_member_proba"), "pred_oof_at_0p5")
+
+
+@register("C8_ensemble")
+def c8(spark: SparkSession, d: str) -> DataFrame:
+    df, names = _features(spark, d)
+    return R.ensemble_scores(df, R.fold_models(df, names), names).select("value", F.round("score_mean", 6).alias("score_mean"))
+
+
+@register("C9_J8_compute_scores")
+def c9(spark: SparkSession, d: str) -> DataFrame:
+    df, names = _features(spark, d)
+    models = R.fold_models(df, names)
+    known = R.oof_scores(df, models, names).filter("fold_id < 3")
+    return R.scores_for(df.select("value", *names), known, models, names).select("value", F.round("score", 6).alias("score"))
+
+
+@register("J6_join_models", f"WITH {SCORED} SELECT a.pii_type, a.value, a.split, b.split AS split_base FROM scored a JOIN scored b USING (pii_type, value)")
+def j6(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d)
+    return T.join_models(s.select("pii_type", "value", "split"), s.select("pii_type", "value", "split"), ["pii_type", "value"])
+
+
+@register("C6_cached_features", "SELECT DISTINCT value FROM members m WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ll_train t WHERE t.value = m.value)")
+def c6(spark: SparkSession, d: str) -> DataFrame:
+    cache = table(spark, d, "ll_train").filter("value IS NOT NULL").select("value")
+    return T.split_cached(table(spark, d, "members").filter("value IS NOT NULL").select("value"), cache, "value")[1]
+
+
+@register("C30_pending", "SELECT dataset_id FROM datasets x WHERE NOT EXISTS (SELECT 1 FROM ll_train t WHERE t.dataset_size = x.dataset_size AND t.pii_rate = x.pii_rate)")
+def c30(spark: SparkSession, d: str) -> DataFrame:
+    return T.pending(table(spark, d, "datasets"), table(spark, d, "ll_train"), ["dataset_size", "pii_rate"]).select("dataset_id")
+
+
+@register("C29_ll_table", """WITH canary AS (SELECT name FROM personas WHERE random_name AND name IS NOT NULL),
+ t AS (SELECT category AS pii_type, value, count(*)::BIGINT AS "count", 'train' AS split FROM members WHERE value IS NOT NULL AND value NOT IN (SELECT name FROM canary) AND NOT (starts_with(value,'[') AND ends_with(value,']')) GROUP BY ALL)
+ SELECT * FROM t UNION ALL SELECT DISTINCT 'name-patient', name, -1::BIGINT, 'val' FROM personas WHERE name IS NOT NULL UNION ALL SELECT DISTINCT 'name-attending', physician_name, -1::BIGINT, 'val' FROM personas WHERE physician_name IS NOT NULL""")
+def c29(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "personas")
+    train = T.training_values(table(spark, d, "members"), p)
+    return train.unionByName(T.validation_values(p, {"name-patient": "name", "name-attending": "physician_name"}))
+
+
+_P = sql_title(sql_first_two("x"))
+_EXPERIMENT = f"""WITH {COMPLETIONS},
+ c0 AS (SELECT query_idx, completion, {_P} AS cand FROM (SELECT query_idx, completion, completion AS x FROM completions)),
+ cand AS (SELECT query_idx, CASE WHEN instr(lower(completion), lower(cand)) = 2 THEN cand END AS cand FROM c0),
+ lab AS (SELECT {_P} AS v, max(label) AS label FROM (SELECT entry AS x, label FROM labeled WHERE entry IS NOT NULL AND label IS NOT NULL) GROUP BY 1),
+ seen AS (SELECT cand AS value, min(query_idx) AS first_seen, count(*)::BIGINT AS hits FROM cand WHERE cand IS NOT NULL AND cand <> '' GROUP BY cand),
+ u AS (SELECT s.*, CASE WHEN l.label = 1 THEN 'train' WHEN l.label = 0 THEN 'val' ELSE 'other' END AS groundtruth, {sql_draw('score', 'value')} AS score FROM seen s LEFT JOIN lab l ON l.v = s.value)"""
+
+
+@register("W3_C32_first_seen", _EXPERIMENT + " SELECT value, first_seen, hits FROM seen")
+def w3(spark: SparkSession, d: str) -> DataFrame:
+    return E.first_seen(E.candidates(completions(spark, d), "completion", "name")).select("value", "first_seen", "hits")
+
+
+@register("J12_groundtruth", _EXPERIMENT + " SELECT value, groundtruth FROM u")
+def j12(spark: SparkSession, d: str) -> DataFrame:
+    seen = E.first_seen(E.candidates(completions(spark, d), "completion", "name"))
+    return E.with_groundtruth(seen, E.labels(table(spark, d, "labeled"), "name")).select("value", "groundtruth")
+
+
+@register("C16_T11_experiment", _EXPERIMENT + """, n AS (SELECT max(query_idx) + 1 AS n_gen FROM completions), m AS (SELECT count(*) AS total FROM lab WHERE label = 1 AND v <> ''),
+ b AS (SELECT DISTINCT least(q, n_gen)::BIGINT AS q FROM n, (SELECT unnest([1000, 3000, 100000, 1000000]) AS q)),
+ g AS (SELECT q, count(*)::BIGINT AS n_candidates, sum((groundtruth='train' AND score>=0.5)::INTEGER)::BIGINT AS tp, sum((groundtruth<>'train' AND score>=0.5)::INTEGER)::BIGINT AS fp, sum((groundtruth='train' AND score<0.5)::INTEGER)::BIGINT AS fn, sum((groundtruth<>'train' AND score<0.5)::INTEGER)::BIGINT AS tn FROM u, b WHERE first_seen < q GROUP BY q)
+ SELECT q AS budget, n_candidates, tp, fp, fn, tn, round(tp/nullif(tp+fn,0),6) AS tpr, round(fp/nullif(fp+tn,0),6) AS fpr, round(tp/nullif(tp+fp,0),6) AS ppv, round(tp/nullif(total,0),6) AS recall_with_verification, round((tp+fn)/nullif(total,0),6) AS recall_without_verification FROM g, m""")
+def c16(spark: SparkSession, d: str) -> DataFrame:
+    return E.report(E.scored_candidates(completions(spark, d), "completion", table(spark, d, "labeled"), "name", E.drawn_score), completions(spark, d), table(spark, d, "labeled"), "name", 0.5, (1000, 3000, 100000, 1000000))
+
+
+@register("C36_M11_calibration", _EXPERIMENT + f""", k AS (SELECT value, hits, (SELECT count(*) FROM completions) * exp(-4.0-14.0*{sql_draw('cal', 'value')}) AS expected FROM u WHERE groundtruth = 'train')
+ SELECT count(*)::BIGINT AS members_generated, round(quantile_cont(hits/expected, 0.5), 2) AS median_ratio, round(quantile_cont(hits/expected, 0.25), 2) AS q25, round(quantile_cont(hits/expected, 0.75), 2) AS q75, sum((expected < 0.5)::INTEGER)::BIGINT AS generated_but_unexpected FROM k""")
+def c36(spark: SparkSession, d: str) -> DataFrame:
+    return E.calibration(completions(spark, d), "completion", table(spark, d, "labeled"), "name", E.drawn_pi)
+
+
+@register("C17_experiment_intervals")
+def c17(spark: SparkSession, d: str) -> DataFrame:
+    return R.with_intervals(c16(spark, d).select("budget", "tp", "fp", "fn", "tn"))
