@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leakgauge.operators.scalars import with_scalars
 from leakgauge.functions import di_types as D
 from leakgauge.functions import text as X
 from leakgauge.functions.draws import draw
@@ -87,4 +88,4 @@ def calibration(log: DataFrame, completion: str, labeled: DataFrame, di: str, pi
     k = u.withColumn("expected", pi(F.col("value")) * n_gen).withColumn("ratio", F.when(F.col("expected") > 0, F.col("hits") / F.col("expected")))
     counts = k.agg(F.count(F.lit(1)).alias("members_generated"), F.coalesce(F.sum((F.col("expected") < 0.5).cast("long")), F.lit(0).cast("long")).alias("generated_but_unexpected"))
     q = exact_quantiles(k, "ratio", [], {"median_ratio": 0.5, "q25": 0.25, "q75": 0.75})
-    return counts.crossJoin(F.broadcast(q)).select("members_generated", *[F.round(c, 2).alias(c) for c in ("median_ratio", "q25", "q75")], "generated_but_unexpected")  # one row each
+    return with_scalars(counts, q).select("members_generated", *[F.round(c, 2).alias(c) for c in ("median_ratio", "q25", "q75")], "generated_but_unexpected")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leakgauge.operators.scalars import with_scalars
 from leakgauge.catalog import register
 from leakgauge.operators.quantiles import exact_quantiles
 from leakgauge.plans import metrics as K
@@ -117,7 +118,7 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
 def a3(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "members").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     total = g.agg(F.sum("n").alias("t"))
-    return g.crossJoin(F.broadcast(total)).select("category", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))  # one row of totals
+    return with_scalars(g, total).select("category", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
 @register("A4_count_of_counts", "SELECT n AS copies, count(*)::BIGINT AS n_values FROM (SELECT value, count(*)::BIGINT AS n FROM members GROUP BY value) GROUP BY n")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leakgauge.operators.scalars import with_scalars
 from leakgauge.functions.probability import finite, ratio
 from leakgauge.plans.thresholds import confusion_columns
 
@@ -45,7 +46,7 @@ def roc(scores: DataFrame, score: str = "score", y: str = "y_true", by: list[str
     """One point per distinct score: threshold, tpr, fpr (NULL where a class is absent)."""
     r = running(by_score(scores, score, y, by), "score", ["pos", "neg"], by)
     whole = r.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    r = r.join(whole, list(by)) if by else r.crossJoin(F.broadcast(whole))  # one row of totals
+    r = r.join(whole, list(by)) if by else with_scalars(r, whole)
     return r.select(*by, F.col("score").alias("threshold"), ratio(F.col("pos_cum"), F.col("p")).alias("tpr"), ratio(F.col("neg_cum"), F.col("n")).alias("fpr"), "pos", "neg", "pos_cum", "neg_cum", "p", "n")
 
 
@@ -120,7 +121,7 @@ def ks(values: DataFrame, x: str, group: str, a: object, b: object) -> DataFrame
     width = ((ends.hi - ends.lo) or 1.0) if ends.lo is not None else 1.0
     r = running(v, "x", ["na", "nb"], descending=False, part=F.floor((F.col("x") - F.lit(ends.lo or 0.0)) / F.lit(width) * PARTS))
     whole = v.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    r = r.crossJoin(F.broadcast(whole))  # one row of totals
+    r = with_scalars(r, whole)
     return r.agg(F.max(F.abs(F.col("na_cum") / F.col("ta") - F.col("nb_cum") / F.col("tb"))).alias("statistic"), F.max("ta").alias("n_a"), F.max("tb").alias("n_b"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakgauge.operators.scalars import with_scalars
 from leakgauge.catalog import register
 from leakgauge.functions import di_types as D
 from leakgauge.functions.draws import sql_draw
@@ -120,4 +121,4 @@ def c34(spark: SparkSession, d: str) -> DataFrame:
     titled = F.lower(F.element_at(F.split("v", " "), 1)).isin("mr.", "mrs.", "dr.")
     counts = g.agg(n(F.col("n")).alias("n_names"), n((F.col("n") == 1) & (F.col("lo") != F.col("hi"))).alias("shared_names"), n(F.col("n") * F.col("ph")).alias("also_physician"), n((F.col("n") == 1) & titled).alias("titled"))
     canaries = p.agg(n(F.col("random_name")).alias("canaries"))
-    return counts.crossJoin(F.broadcast(canaries)).select("n_names", "shared_names", "also_physician", "canaries", "titled")  # one row each
+    return with_scalars(counts, canaries).select("n_names", "shared_names", "also_physician", "canaries", "titled")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakgauge.operators.scalars import with_scalars
+
 
 def denominators(values: DataFrame, category: str, value: str, name_prefix: str = "name-", total: str = "name_total") -> DataFrame:
     """Counts, distinct counts and shares per category, and the total row over the name categories.
@@ -17,21 +19,24 @@ def denominators(values: DataFrame, category: str, value: str, name_prefix: str
     g = per_value.groupBy(category).agg(F.sum("n").alias("raw_count"), F.count(value).alias("raw_count_unique"))
     t = per_value.filter(names).agg(F.sum("n").alias("raw_count"), F.countDistinct(value).alias("raw_count_unique")).select(F.lit(total).alias(category), "raw_count", "raw_count_unique").filter("raw_count IS NOT NULL")
     whole = g.agg(F.sum("raw_count").alias("__all"))
-    both = g.withColumn("__extra", F.lit(0)).unionByName(t.withColumn("__extra", F.lit(1))).crossJoin(F.broadcast(whole))  # one row of totals
+    both = with_scalars(g.withColumn("__extra", F.lit(0)).unionByName(t.withColumn("__extra", F.lit(1))), whole)
     return both.select(category, "raw_count", "raw_count_unique", F.round(F.col("raw_count") / (F.col("__all") + F.col("__extra") * F.col("raw_count")), 4).alias("proportion"), F.round(F.col("raw_count_unique") / F.col("raw_count"), 4).alias("proportion_unique"))
 
 
 def experiment_against_theory(experiment: DataFrame, theory: DataFrame, metrics: list[str]) -> DataFrame:
     """For every experimental budget the theory at the closest finite budget, metric by metric.
 
-    Both tables hold a few rows per run; the theory is joined by its nearest
-    budget through one aggregate per experimental budget.
+    The experimental budgets are a stated grid; more than 1000 are an error.
     """
-    t = theory.filter(F.col("budget") < float("inf")).select(F.col("budget").alias("t_budget"), *[F.col(m).alias(f"t_{m}") for m in metrics])
-    e = experiment.select("budget", *metrics)
-    near = e.crossJoin(F.broadcast(t)).groupBy("budget", *metrics).agg(F.min_by(F.struct("t_budget", *[f"t_{m}" for m in metrics]), F.struct(F.abs(F.col("budget") - F.col("t_budget")), "t_budget")).alias("n"))  # a stated grid of budgets
-    stack = ", ".join(f"'{m}', {m}, n.t_{m}" for m in metrics)
-    return near.select("budget", F.col("n.t_budget").alias("theory_budget"), F.expr(f"stack({len(metrics)}, {stack}) AS (metric, experiment, theory)"))
+    from leakgauge.plans.curves import nearest
+
+    budgets = [float(r.budget) for r in experiment.select("budget").distinct().limit(1001).collect()]
+    if len(budgets) > 1000:
+        raise ValueError("more than 1000 experimental budgets")
+    finite = theory.filter(F.col("budget") < float("inf")).select(F.col("budget").alias("t_budget"), *[F.col(m).alias(f"t_{m}") for m in metrics])
+    near = nearest(finite, "t_budget", tuple(budgets)).withColumnRenamed("target", "budget")
+    stack = ", ".join(f"'{m}', {m}, t_{m}" for m in metrics)
+    return experiment.select("budget", *metrics).join(near, "budget").select("budget", F.col("t_budget").alias("theory_budget"), F.expr(f"stack({len(metrics)}, {stack}) AS (metric, experiment, theory)"))
 
 
 def merged_names(frames: dict[str, DataFrame], value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from leakgauge.operators.scalars import with_scalars
 from leakgauge.functions.draws import draw
 from leakgauge.functions.probability import finite
 from leakgauge.operators.quantiles import at_shares, exact_quantiles
@@ -73,7 +74,7 @@ def bootstrap_quantile(df: DataFrame, x: str, by: list[str], share: float = 0.5,
     at = lambda z: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(share) + z * spread))
     levels = sizes.select(*by, F.explode(F.array(F.struct(F.lit("lo").alias("name"), at(lo).alias("share")), F.struct(F.lit("hi").alias("name"), at(hi).alias("share")))).alias("q")).select(*by, "q.name", "q.share")
     found = at_shares(clean, x, by, levels).groupBy(*by).pivot("name", ["lo", "hi"]).agg(F.first("value"))
-    return sizes.join(found, list(by)) if by else sizes.crossJoin(F.broadcast(found))  # one row each
+    return sizes.join(found, list(by)) if by else with_scalars(sizes, found)
 
 
 def factor(scores: DataFrame, by: list[str], pi: str = "pi", base: str = "p_base", floor: float = 0.0, share: float = 0.5, rounds: int = 200, seed: int = 42) -> DataFrame:
