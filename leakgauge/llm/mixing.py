@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakgauge.operators.scalars import with_scalars
 from leakgauge.llm.tokens import DEFAULT_VOCABULARY, token_sizes
 from leakgauge.session import stable
 
@@ -92,5 +93,5 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, text: str, source: str,
         F.col("r_source").alias("source"), "target_share", "max_repeats", "tokens_at_hand", "rate", F.coalesce("u_tokens", F.lit(0)).alias("tokens_used"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses")
     )
     total = report.agg(F.sum("tokens_used").alias("all_tokens"))
-    report = report.crossJoin(F.broadcast(total)).withColumn("reached_share", F.when(F.col("all_tokens") > 0, F.col("tokens_used") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")  # one row beside at most MAX_TARGETS
+    report = with_scalars(report, total).withColumn("reached_share", F.when(F.col("all_tokens") > 0, F.col("tokens_used") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")
     return chosen, report

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakgauge.operators.scalars import with_scalars
 from leakgauge.session import ship
 
 TERM_PATTERN = r"[\p{L}\p{Nd}]+"
@@ -74,7 +75,7 @@ def term_counts(df: DataFrame, value: str, weight: str | None = None, heavy: int
 def marked_terms(df: DataFrame, value: str, weight: str | None = None, common_share: float = 0.01, rare_below: int = 3, **how: object) -> DataFrame:
     """term_counts with share (of the rows that have a value) and mark: ``common``, else ``rare``, else NULL."""
     total = df.filter(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("total"))
-    counts = term_counts(df, value, weight, **how).crossJoin(F.broadcast(total))  # the one total beside every term: one row, not a growing side
+    counts = with_scalars(term_counts(df, value, weight, **how), total)
     share = F.col("n_rows") / F.col("total")
     mark = F.when(F.col("n_rows") > F.col("total") * common_share, "common").when(F.col("occurrences") < rare_below, "rare")
     return counts.select("term", "occurrences", "n_rows", share.alias("share"), mark.alias("mark"))
