@@ -38,7 +38,7 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
     return K.roc(scored(spark, d)).select("threshold", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
-@register("A17_auc", f"WITH {SCORED}, g AS (SELECT pii_type, score, sum(y_true) AS pos, sum(1-y_true) AS neg FROM scored GROUP BY ALL), c AS (SELECT *, sum(neg) OVER (PARTITION BY pii_type ORDER BY score) - neg/2 AS below FROM g) SELECT pii_type, round(sum(pos*below)/(sum(pos)*sum(neg)), 6) AS auc FROM c GROUP BY pii_type")
+@register("A17_auc", f"WITH {SCORED}, g AS (SELECT pii_type, score, sum(y_true) AS pos, sum(1-y_true) AS neg FROM scored GROUP BY ALL), c AS (SELECT *, sum(neg) OVER (PARTITION BY pii_type ORDER BY score) - neg/2 AS below FROM g) SELECT pii_type, round(sum(pos*below)/nullif(sum(pos)*sum(neg), 0), 6) AS auc FROM c GROUP BY pii_type")
 def auc_(spark: SparkSession, d: str) -> DataFrame:
     return K.auc(scored(spark, d), by=["pii_type"]).select("pii_type", F.round("auc", 6).alias("auc"))
 
