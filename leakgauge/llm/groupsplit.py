@@ -129,8 +129,9 @@ def split_groups(df: DataFrame, targets: DataFrame, record_id: str, subject: str
     """Every row: record id, ``keep``, person (the group), label, split."""
     spark = df.sparkSession
     shares = {r.split: float(r.share or 0.0) for r in targets.filter("split IS NOT NULL").groupBy("split").agg(F.sum("share").alias("share")).limit(1000).collect()}
-    tagged = with_entities(df, record_id, subject, text)
-    rows = tagged.select(record_id, *keep, F.element_at("__entities", 1).alias("__node"), F.coalesce(label, F.lit("none")).alias("label"))
+    # the texts are searched once; what is kept of a row is narrow
+    tagged = stable(with_entities(df, record_id, subject, text).select(record_id, *keep, "__entities", F.coalesce(label, F.lit("none")).alias("label")))
+    rows = tagged.select(record_id, *keep, F.element_at("__entities", 1).alias("__node"), "label")
     people = stable(persons(tagged))
     # rows are counted by entity and label first: the subject of a tenth of all rows is one count per task
     per_node = rows.groupBy(F.col("__node").alias("node"), F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("n"))
@@ -152,7 +153,9 @@ def split_groups(df: DataFrame, targets: DataFrame, record_id: str, subject: str
 
 def same_person_pairs(df: DataFrame, record_id: str, subject: str, text: str) -> DataFrame:
     """Pairs (subject_a < subject_b, byte order) of different stored subjects of one person."""
-    tagged = with_entities(df, record_id, subject, text).filter(F.col(subject).isNotNull())
+    # the texts are searched once; equal subjects with equal numbers are one row from here on
+    tagged = with_entities(df, record_id, subject, text).filter(F.col(subject).isNotNull()).select(subject, "__entities")
+    tagged = stable(tagged.distinct())
     stored = tagged.select(F.col(subject).alias("stored"), F.element_at("__entities", 1).alias("node"), tidy_id(F.col(subject)).alias("tidy")).filter("tidy IS NOT NULL").select("stored", "node").distinct()
     named = stored.join(persons(tagged), "node").select("stored", "label")
     several = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
