@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leakgauge.llm.forms import canonical, kind_of
+from leakgauge.session import stable
 
 #: Forms are numbered inside so many hash buckets, so that no task sees all of them.
 BUCKETS = 1 << 16
@@ -50,7 +51,7 @@ def collapse(df: DataFrame, value: str, pii_type: str | None = None) -> DataFram
     kind = kind_of(F.col("__v"), None if pii_type is None else F.col("__t"))
     base = df.select(F.col(value).alias("__v"), (F.col(pii_type) if pii_type else F.lit(None).cast("string")).alias("__t"))
     counted = base.filter(F.col("__v").isNotNull()).groupBy("__t", "__v").agg(F.count(F.lit(1)).alias("n")).withColumn("__kind", kind)
-    counted = counted.withColumn("__key", F.concat_ws("\x01", "__kind", "__v"))
+    counted = stable(counted.withColumn("__key", F.concat_ws("\x01", "__kind", "__v")))
     values = _encode(counted, "__key", F.concat_ws("\x01", "__kind", canonical(F.col("__v"), F.col("__kind")))).filter(~F.col("__form").endswith("\x01") & F.contains(F.col("__form"), F.lit("\x01")))
     out = counted.join(values.withColumnRenamed("__raw", "__key").withColumnRenamed("__id", "__value_id"), "__key")
     pair = lambda no, x: F.struct(F.lit(no).alias("field"), x.alias("id"))
@@ -82,11 +83,11 @@ def copy_pairs(df: DataFrame, id_col: str, value: str, pii_type: str | None = No
     of them by definition, are dropped from the rows by a broadcast anti join
     before the rows are shuffled. The result is the same without that step.
     """
-    classes = collapse(df, value, pii_type)
+    classes = stable(collapse(df, value, pii_type).select("value", "pii_type", "n", "record"))
     small = classes.groupBy("record").agg(F.sum("n").alias("__rows")).filter(f"__rows BETWEEN 2 AND {int(most)}").select("record")
     raws = classes.join(small, "record", "left_semi").select(F.col("value").alias("__v"), F.col("pii_type").alias("__t"), "record")
     rows = df.select(F.col(id_col).alias("__i"), F.col(value).alias("__v"), (F.col(pii_type) if pii_type else F.lit(None).cast("string")).alias("__t")).filter(F.col("__v").isNotNull() & F.col("__i").isNotNull())
-    total = df.count()
+    total = classes.agg(F.sum("n").alias("t")).first().t or 0
     hot = classes.filter(F.col("n") > F.lit(max(int(most), int(total * HOT_SHARE)))).select(F.col("value").alias("__v"), F.col("pii_type").alias("__t"))
     same = lambda a, b: F.col(f"{a}.__v").eqNullSafe(F.col(f"{b}.__v")) & F.col(f"{a}.__t").eqNullSafe(F.col(f"{b}.__t"))
     rows = rows.alias("r").join(F.broadcast(hot).alias("h"), same("r", "h"), "left_anti")
