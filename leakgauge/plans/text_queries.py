@@ -204,6 +204,12 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
     return S.equal_filters(table(spark, d, "datasets"), injection_strategy="manual", sampling_strategy="zipf").select("dataset_id")
 
 
+@register("F2_unique_row", "SELECT dataset_id, dataset_path FROM datasets WHERE dataset_id = 3")
+def f2(spark: SparkSession, d: str) -> DataFrame:
+    only = S.unique_row(S.equal_filters(table(spark, d, "datasets"), dataset_id=3).select("dataset_id", "dataset_path"))
+    return spark.createDataFrame([tuple(only)], "dataset_id long, dataset_path string")
+
+
 @register("F3_in_list", "SELECT row_id FROM ll_train WHERE pii_type IN ('email', 'phone')")
 def f3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ll_train").filter(F.col("pii_type").isin("email", "phone")).select("row_id")
@@ -273,6 +279,17 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
     return replies.select("note_id", F.explode(prepare.parse_categories(F.col("reply"), F.col("n"))).alias("blank", "category"))
 
 
+@register("R5_mock_classifier", f"SELECT note_id, storetime, i::VARCHAR AS blank, {D.sql_detect('prefix')} AS category FROM (SELECT note_id, storetime, i, array_to_string(segs[1:i], '___') AS prefix FROM (SELECT note_id, storetime, segs, unnest(range(1, len(segs))) AS i FROM (SELECT note_id, storetime, string_split(note, '___') AS segs FROM notes WHERE note IS NOT NULL)))")
+def r5(spark: SparkSession, d: str) -> DataFrame:
+    """The mock back end answers with the label classifier's categories as JSON; the reply is parsed like any other."""
+    from leakgauge.plans import prepare
+
+    n = table(spark, d, "notes").filter("note IS NOT NULL").withColumn("n", X.blank_count(F.col("note"))).filter("n > 0")
+    numbers = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: k.cast("string"))
+    replies = n.select("note_id", "storetime", "n", F.to_json(F.map_from_arrays(numbers, prepare.categories_of(F.col("note")))).alias("reply"))
+    return replies.select("note_id", "storetime", F.explode(prepare.parse_categories(F.col("reply"), F.col("n"))).alias("blank", "category"))
+
+
 @register("R4_strip_think", "SELECT note_id, trim(regexp_replace('<think>a'||chr(10)||'b</think> '||note_id||' ', '(?is)<think>.*?</think>', '', 'g')) AS answer FROM personas WHERE note_id IS NOT NULL")
 def r4(spark: SparkSession, d: str) -> DataFrame:
     reply = F.concat(F.lit("<think>a\nb</think> "), F.col("note_id"), F.lit(" "))
