@@ -52,7 +52,7 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return S.any_format(spark, f"{d}/mix_targets.parquet").select("source", "target_share")
 
 
-@register("S7_S8_glob_with_names", "SELECT 0.1 * t AS tau, count(*)::BIGINT AS n FROM datasets, (SELECT unnest([3, 5]) AS t) GROUP BY t")
+@register("S7_S8_glob_with_names", "SELECT CASE t WHEN 3 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS tau, count(*)::BIGINT AS n FROM datasets, (SELECT unnest([3, 5]) AS t) GROUP BY t")
 def s7(spark: SparkSession, d: str) -> DataFrame:
     at = _place(spark, "curves")
     for t in (3, 5):
@@ -118,7 +118,7 @@ def k6(spark: SparkSession, d: str) -> DataFrame:
     return S.csv(spark, path, "vec_id long, tokens string")
 
 
-@register("K12_report", f"WITH {SCORED} SELECT to_json({{'pii_type': pii_type, 'n': count(*)::BIGINT, 'members': sum(y_true)::BIGINT}}) AS report FROM scored GROUP BY pii_type")
+@register("K12_report", f"WITH {SCORED} SELECT to_json({{'pii_type': pii_type, 'n': count(*)::BIGINT, 'members': sum(y_true)::BIGINT}})::VARCHAR AS report FROM scored GROUP BY pii_type")
 def k12(spark: SparkSession, d: str) -> DataFrame:
     g = scored(spark, d).groupBy("pii_type").agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("members"))
     return g.select(F.to_json(F.struct("pii_type", "n", "members")).alias("report"))

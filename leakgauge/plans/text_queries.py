@@ -302,7 +302,7 @@ def r6(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", X.python_str_list(F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double") * 1000).cast("long"))).alias("tokens"))
 
 
-@register("R7_report_json", "SELECT pii_type, to_json({'pii_type': pii_type, 'n': count(*)::BIGINT, 'n_values': count(DISTINCT value)::BIGINT}) AS report FROM ll_train WHERE pii_type IS NOT NULL GROUP BY pii_type")
+@register("R7_report_json", "SELECT pii_type, to_json({'pii_type': pii_type, 'n': count(*)::BIGINT, 'n_values': count(DISTINCT value)::BIGINT})::VARCHAR AS report FROM ll_train WHERE pii_type IS NOT NULL GROUP BY pii_type")
 def r7(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "ll_train").filter("pii_type IS NOT NULL").groupBy("pii_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
     return g.select("pii_type", F.to_json(F.struct("pii_type", "n", "n_values")).alias("report"))
