@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakgauge.session import ship
+from leakgauge.session import ship, stable
 
 # Letters of the three scripts that print alike, Latin first.
 LOOKALIKE_CLASSES = (
@@ -224,10 +224,9 @@ def lookalike_pairs(df: DataFrame, id_col: str, text: str, model: Model | None =
     Only classes holding two different stored texts reach the join, so plain
     copies alone never meet each other.
     """
-    keys = consistent_text(df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()), id_col, text, model, keys_only=True)
+    # two digests a row are kept, so each text is normalized once
+    keys = stable(consistent_text(df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()), id_col, text, model, keys_only=True))
     mixed = keys.groupBy("form_key").agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi")).filter("lo <> hi").select("form_key")
-    from leakgauge.session import stable
-
     rows = stable(keys.join(mixed, "form_key", "left_semi").select(F.col(id_col).alias("id"), "form_key", "raw_key").distinct())
     a, b = rows.alias("a"), rows.alias("b")
     return a.join(b, (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw_key") != F.col("b.raw_key"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
