@@ -158,9 +158,11 @@ def eval_overlaps(df: DataFrame, id_col: str, value: str, pii_type: str, split:
     """
     t = F.col(pii_type)
     tagged = df.withColumn("__side", split_side(F.col(split))).withColumn("__form", canonical(F.col(value), kind_of(F.col(value), t))).filter(t.isNotNull() & F.col("__form").isNotNull())
-    distinct = lambda side: stable(tagged.filter(side).select(t.alias("pii_type"), F.col("__form").alias("form")).distinct())
-    on_eval = F.col("__side").isin(*eval_splits)
-    found = matched_forms(distinct(on_eval), distinct(F.col("__side") == train_split), list(near_types))
+    on_eval, on_train = F.col("__side").isin(*eval_splits), F.col("__side") == train_split
+    # one scan gives the distinct texts of both sides
+    both = stable(tagged.filter(on_eval | on_train).select(t.alias("pii_type"), F.col("__form").alias("form"), on_train.alias("train")).distinct())
+    side = lambda train: both.filter(F.col("train") == train).select("pii_type", "form")
+    found = matched_forms(side(False), side(True), list(near_types))
     rows = tagged.filter(on_eval).select(F.col(id_col), F.col("__side").alias("split"), t.alias("pii_type"), *[F.col(c) for c in keep], F.col("__form").alias("form"))
     out = rows.join(found, ["pii_type", "form"], "left")
     return out.select(id_col, "split", "pii_type", *keep, F.coalesce("exact", F.lit(False)).alias("exact"), (F.col("coverage").isNotNull() & ~F.col("exact")).alias("near"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
