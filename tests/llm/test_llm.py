@@ -100,6 +100,24 @@ def test_detector_edges(spark, detector):
     assert nobody.spans(["Name: Ulrika Herhosberhid", None]) == [[], []]
 
 
+def test_thresholds_are_calibrated_whatever_the_number_of_proposals(monkeypatch):
+    rows, fits, helds = [r for r, _ in make_notes(150, 3)], [], []
+    fit, calibrate = boosting.fit, boosting.calibrated_threshold
+    monkeypatch.setattr(personal.boosting, "fit", lambda x, y: fits.append(len(y)) or fit(x, y))
+    monkeypatch.setattr(personal.boosting, "calibrated_threshold", lambda p, y, **kw: helds.append(len(set(p))) or calibrate(p, y, **kw))
+    personal.fit_rows(rows)
+    names, whole = fits[1], len(fits)
+    for part in (1.5, 2.5, 3.5, 5.5):  # a third step was one with the folds
+        fits.clear()
+        helds.clear()
+        monkeypatch.setattr(personal, "MOST_ROWS", int(names / part))
+        personal.fit_rows(rows)
+        assert len(fits) == whole and min(fits) > 0 and abs(fits[1] * part / names - 1) < 0.35
+        assert 0.5 < fits[0] / fits[1] < 0.85 and helds[0] > 1
+    with pytest.warns(UserWarning, match="threshold 0.5"):
+        assert personal.fit_rows(rows[:1]).thresholds["name"] == 0.5
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
