@@ -1,6 +1,7 @@
 """Personal information inside free text (problem 2).
 
-High-recall generators propose overlapping spans for each kind. Boosted trees
+High-recall generators (names in any case behind a label or beside a known
+given name, capitalised ones everywhere) propose overlapping spans for each kind. Boosted trees
 score every proposal by its format and context, thresholds calibrated on
 held-out notes choose, and the best spans that do not overlap are redacted.
 
@@ -35,6 +36,9 @@ from leakgauge.llm import boosting
 from leakgauge.session import ship
 
 KINDS = ("name", "email", "phone", "id", "address")
+#: Names with a word in lower case have trees and a threshold of their own, so that the many words no name is made of do not move those of the others.
+LOWER = "lower"
+MODELS = (*KINDS, LOWER)
 SAMPLE_NOTES = 6000
 SAMPLE_CHARS = 6000
 #: About as many labelled proposals of a kind are fitted; of more, whole notes are drawn by hash.
@@ -53,11 +57,13 @@ TELLS = {
     "id": re.compile(r"(?i)(?:mrn|unit no|record number|ssn|soc sec|social security (?:no|number)|national id)[ .:#=]*$"),
     "": re.compile(r"(?i)(?:accession|lot|order|serial|ref\.?|batch|device|sample|barcode)[ .:#=]*$"),
 }
-PERSON_TELL = re.compile(r"(?:\b(?:Dr|Mr|Mrs|Ms|Mx)\.? |Attending: (?:Dr\.? )?|Seen by (?:Dr\.? )?|Name: |PATIENT: |concerns |[Ss]igned: |Signed/(?:Dr\.? )?|Dictated by |Typed for )$")
+_LABEL = re.compile(r"(?:\b(?:Dr|Mr|Mrs|Ms|Mx)\.? |Attending: (?:Dr\.? )?|Seen by (?:Dr\.? )?|Name: |PATIENT: |concerns |[Ss]igned: |Signed/(?:Dr\.? )?|Dictated by |Typed for )")
+PERSON_TELL = re.compile(_LABEL.pattern + "$")
 NOT_PERSON = re.compile(r"^ (?:sign|score|Ward|Pavilion|Wing|Clinic|test|scale|manoeuvre|criteria|period)\b")
 
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
 _TOKEN = re.compile(rf"(?<![\w'’@.°%])(?<!\d )[{_UP}][^\W\d_]*(?:['’\-][{_UP}][^\W\d_]*)*(?![\w@])")
+_ANY_CASE = re.compile(r"(?<![\w'’@.°%])(?<!\d )[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w@])")
 _GAP = re.compile(r"[ ]|, ?|[ ]?\^[ ]?|\.[ ]|\.,? ")
 _DOT = r"(?:\.| ?[\(\[]dot[\)\]] ?| dot )"
 _AT = r"(?: ?@ ?| ?[\(\[]at[\)\]] ?| at )"
@@ -101,10 +107,53 @@ def _bracketed(text: str, s: int, e: int) -> bool:
     return s > 0 and text[s - 1] in "[_*" or e < len(text) and text[e] in "]_"
 
 
-def name_spans(text: str, unlikely: frozenset[str]) -> list[tuple[int, int, tuple[str, ...], int, int]]:
-    """(start, end, tokens, first, last) of up to four capitalised tokens; first and last place them among the neighbours in the run.
-
-    Runs of words that are hardly ever part of a name are left out unless a
+def model_of(words: tuple[str, ...]) -> str:
+    return LOWER if any(w[0].islower() for w in words) else "name"
+
+
+def _joined(text: str, left: tuple[int, int, str], right: tuple[int, int, str]) -> bool:
+    """Whether two neighbouring words can stand in one name."""
+    gap = text[left[1] : right[0]]
+    return _GAP.fullmatch(gap) is not None and ("." not in gap or len(left[2]) == 1)
+
+
+def _whole(text: str, s: int, e: int, words: tuple[str, ...]) -> int | None:
+    """End of the span with the dot of a last initial, None where it is no proposal."""
+    if any(w.lower() in TITLES for w in words):
+        return None
+    if len(words[-1]) == 1 and (len(words) == 1 or text[e : e + 1] != "."):
+        return None
+    end = e + (len(words[-1]) == 1)
+    return None if _bracketed(text, s, end) else end
+
+
+def any_case_spans(text: str, given: frozenset[str]) -> list[tuple[int, int, tuple[str, ...], int, int]]:
+    """As ``name_spans``, the spans with a word in lower case: up to four words that start behind a name label or hold a given name."""
+    found: dict[tuple[int, int], tuple] = {}
+    labels = {m.end() for m in _LABEL.finditer(text)}
+    tokens = [(m.start(), m.end(), m[0]) for m in _ANY_CASE.finditer(text)]
+    for k, (s, _, w) in enumerate(tokens):
+        label, named = s in labels, w.lower() in given
+        if not label and not named:
+            continue
+        lo = hi = k
+        while named and k - lo < 2 and lo > 0 and tokens[lo][0] not in labels and _joined(text, tokens[lo - 1], tokens[lo]):
+            lo -= 1
+        while hi - k < 3 and hi + 1 < len(tokens) and _joined(text, tokens[hi], tokens[hi + 1]):
+            hi += 1
+        for i in range(lo, k + 1):
+            for j in range(k, min(i + 4, hi + 1)):
+                words = tuple(t[2] for t in tokens[i : j + 1])
+                if model_of(words) == LOWER and (end := _whole(text, tokens[i][0], tokens[j][1], words)) is not None:
+                    found.setdefault((tokens[i][0], end), (tokens[i][0], end, words, i - lo, hi - j))
+    return list(found.values())
+
+
+def name_spans(text: str, unlikely: frozenset[str], given: frozenset[str] = frozenset()) -> list[tuple[int, int, tuple[str, ...], int, int]]:
+    """(start, end, tokens, first, last) of up to four capitalised tokens, and of words of any case beside a name label or a given name.
+
+    first and last place the tokens among the neighbours in the run. Runs of
+    capitalised words that are hardly ever part of a name are left out unless a
     title or the like stands before them.
     """
     found, run = [], []
@@ -114,29 +163,21 @@ def name_spans(text: str, unlikely: frozenset[str]) -> list[tuple[int, int, tupl
         for i in range(len(run)):
             for j in range(i, min(i + 4, len(run))):
                 words = tuple(t[2] for t in run[i : j + 1])
-                if any(w.lower() in TITLES for w in words):
-                    continue
                 if all(w.lower() in unlikely or len(w) == 1 for w in words) and not PERSON_TELL.search(text, max(0, run[i][0] - 24), run[i][0]):
                     continue
-                if len(words[-1]) == 1 and (len(words) == 1 or text[run[j][1] : run[j][1] + 1] != "."):
-                    continue
-                end = run[j][1] + (len(words[-1]) == 1)
-                if not _bracketed(text, run[i][0], end):
+                if (end := _whole(text, run[i][0], run[j][1], words)) is not None:
                     found.append((run[i][0], end, words, i, len(run) - 1 - j))
 
     for t in tokens:
         s, e, w = t
         if w.isupper() and w[-2:] in ("'S", "’S"):
             t = (s, e - 2, w[:-2])
-        if run:
-            gap = text[run[-1][1] : s]
-            joined = _GAP.fullmatch(gap) and ("." not in gap or len(run[-1][2]) == 1)
-            if not joined:
-                close()
-                run = []
+        if run and not _joined(text, run[-1], t):
+            close()
+            run = []
         run.append(t)
     close()
-    return found
+    return found + any_case_spans(text, given)
 
 
 def number_spans(text: str) -> list[tuple[int, int]]:
@@ -219,10 +260,12 @@ class Scorer:
     def name(self, text: str, span: tuple, seen: Counter, fold: int | None = None, keys_only: bool = False) -> tuple[list[float], list[tuple]]:
         s, e, words, left, right = span
         low = [w.lower() for w in words]
-        keys = self.keys("name", text, s, e)
+        model = model_of(words)
+        keys = self.keys(model, text, s, e)
         token_keys = [("name", "t", w) for w in low]
+        own_keys = keys + token_keys if model == "name" else keys
         if keys_only:
-            return [], keys + token_keys
+            return [], own_keys
         counts = [math.log1p(self.lower.get(w, 0)) for w in low]
         rates = [self.lookup(k, fold) for k in token_keys]
         prev = text[s - 1] if s else "\n"
@@ -241,8 +284,9 @@ class Scorer:
             max(len(w) for w in words), min(len(w) for w in words), float(wl in self.given), math.log1p(self.lower.get(wl, 0)), float(wl in TITLES), float(wr in self.given), math.log1p(self.lower.get(wr, 0)), float(wr in TITLES),
             self.lookup(("name", "t", wl), fold) if wl else 0.0, self.lookup(("name", "t", wr), fold) if wr else 0.0,
             min(9, min(seen[w] for w in low)), min(9, max(seen[w] for w in low)), float(NOT_PERSON.match(text[e : e + 14]) is not None),
+            sum(w[0].islower() for w in words) / len(words),
         ]
-        return x, keys + token_keys
+        return x, own_keys
 
     def number(self, kind: str, text: str, s: int, e: int, fold: int | None = None, keys_only: bool = False) -> tuple[list[float], list[tuple]]:
         t = text[s:e]
@@ -281,12 +325,12 @@ class Scorer:
 def proposals(text: str, scorer: Scorer, fold: int | None = None, keys_only: bool = False) -> list[tuple[str, int, int, list[float], list[tuple], tuple]]:
     """Overlapping proposals of every kind with their features; ``keys_only`` leaves those of names and numbers out."""
     out = []
-    spans = name_spans(text, scorer.unlikely)
+    spans = name_spans(text, scorer.unlikely, scorer.given)
     if spans:
         seen = Counter(w.lower() for w in re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]{2,})*", text) if w[0].isupper())
         for span in spans:
             x, keys = scorer.name(text, span, seen, fold, keys_only)
-            out.append(("name", span[0], span[1], x, keys, span[2]))
+            out.append((model_of(span[2]), span[0], span[1], x, keys, span[2]))
     for s, e in number_spans(text):
         for kind in ("phone", "id"):
             x, keys = scorer.number(kind, text, s, e, fold, keys_only)
@@ -334,7 +378,7 @@ class Labeller:
 
     def __call__(self, text: str, p: tuple, patient: set[str], facts: dict[str, set[str]]) -> int | None:
         kind, s, e, _, _, extra = p
-        if kind == "name":
+        if kind in ("name", LOWER):
             return self.person(text, s, e, [w.lower() for w in extra], patient)
         t = text[s:e]
         if kind in ("phone", "id"):
@@ -366,6 +410,11 @@ class Labeller:
         titled = PERSON_TELL.search(text[max(0, s - 24) : s]) is not None
         if NOT_PERSON.match(text[e : e + 14]) and not titled:
             return 0
+        lowered = any(w[0].islower() for w in re.findall(r"[^\W\d_]+", text[s:e]))
+        if lowered and titled and not patient:
+            return None  # a surname in lower case is no strange word
+        if lowered and len(words) == 1 and not titled:
+            return None if words[0] in patient else 0  # the patient's name or just the word, such as will
         if not all(self.known(w, patient) for w in words):
             return 0
         if len(words) == 1 and not titled and words[0] not in patient:
@@ -377,11 +426,12 @@ class Labeller:
             return None
         if all(len(w) == 1 for w in words):
             return 0
-        # longer spans of known words are the whole name
-        left = re.search(rf"(?<![°%\w])(?<!\d )([{_UP}][^\W\d_]*(?:['’\-][^\W\d_]+)*)(?:\. |[ ]|, ?| ?\^ ?)$", text[max(0, s - 30) : s])
+        # longer spans of known words are the whole name; beside a word in lower case the rest may be so too
+        first = r"[^\W\d_]" if lowered else f"[{_UP}]"
+        left = re.search(rf"(?<![°%\w])(?<!\d )({first}[^\W\d_]*(?:['’\-][^\W\d_]+)*)(?:\. |[ ]|, ?| ?\^ ?)$", text[max(0, s - 30) : s])
         if left and left[1].lower() not in TITLES and self.known(left[1].lower(), patient) and (len(left[1]) > 1 or text[s - 2 : s] == ". ") and len(words) < 3:
             return 0
-        right = re.match(rf"(?:\. |[ ]|, ?| ?\^ ?)([{_UP}][^\W\d_]*(?:['’\-][^\W\d_]+)*)", text[e : e + 30])
+        right = re.match(rf"(?:\. |[ ]|, ?| ?\^ ?)({first}[^\W\d_]*(?:['’\-][^\W\d_]+)*)", text[e : e + 30])
         if right and right[1].lower() not in TITLES and len(right[1]) > 1 and self.known(right[1].lower(), patient) and len(words) < 3 and not text[e : e + 1] == ".":
             return 0
         return 1
@@ -394,7 +444,7 @@ def _facts(row: dict) -> tuple[set[str], dict[str, set[str]]]:
 
 
 class Detector:
-    """What the executors need: context table, lexica, one set of trees and one threshold per kind."""
+    """What the executors need: context table, lexica, one set of trees and one threshold per kind (two for names)."""
 
     def __init__(self, scorer_parts: tuple, trees: dict[str, boosting.Trees], thresholds: dict[str, float]):
         self.scorer_parts, self.trees, self.thresholds = scorer_parts, trees, thresholds
@@ -404,18 +454,19 @@ class Detector:
         if scorer is None:
             scorer = self._scorer = Scorer(*self.scorer_parts)
         found: list[list] = [[] for _ in texts]
-        groups: dict[str, tuple[list, list]] = {k: ([], []) for k in KINDS}
+        groups: dict[str, tuple[list, list]] = {k: ([], []) for k in MODELS}
         for i, t in enumerate(texts):
             if t:
                 for kind, s, e, x, _, _ in proposals(t, scorer):
                     groups[kind][0].append((i, s, e))
                     groups[kind][1].append(x)
         for kind, (where, xs) in groups.items():
+            shown = "name" if kind == LOWER else kind
             if xs:
                 p = self.trees[kind].probability(np.array(xs, np.float32))
                 for (i, s, e), v in zip(where, p, strict=True):
                     if v >= self.thresholds[kind]:
-                        found[i].append((kind, s, e, float(v)))
+                        found[i].append((shown, s, e, float(v)))
         return [choose(f) for f in found]
 
     def __getstate__(self) -> dict:
@@ -463,12 +514,12 @@ def fit_rows(rows: list[dict]) -> Detector:
         fold = i % FOLDS
         for p in proposals(r["note"], scorer, keys_only=True):
             y = label(r["note"], p, people, facts)
-            if y is not None and (p[0] != "name" or patient or y == 0):
+            if y is not None and (p[0] not in ("name", LOWER) or patient or y == 0):
                 kept.append((i, p[0], p, y))
                 for k in p[4]:
                     context.add(k, fold, y)
     scorer.table = context.by_fold()
-    parts: dict[str, list] = {k: [] for k in KINDS}
+    parts: dict[str, list] = {k: [] for k in MODELS}
     for i, kind, p, y in kept:
         parts[kind].append((i, p, y))
     trees, thresholds = {}, {}
@@ -481,7 +532,7 @@ def fit_rows(rows: list[dict]) -> Detector:
         last, seen = -1, Counter()
         for i, p, y in items:
             fold, text = i % FOLDS, rows[i]["note"]
-            if kind == "name":
+            if kind in ("name", LOWER):
                 if i != last:
                     last, seen = i, Counter(w.lower() for w in re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]{2,})*", text) if w[0].isupper())
                 span = next(s for s in name_spans_cached(text, scorer) if s[0] == p[1] and s[1] == p[2])
@@ -517,7 +568,7 @@ _SPAN_CACHE: dict[str, list] = {}
 def name_spans_cached(text: str, scorer: Scorer) -> list:
     if text not in _SPAN_CACHE:
         _SPAN_CACHE.clear()
-        _SPAN_CACHE[text] = name_spans(text, scorer.unlikely)
+        _SPAN_CACHE[text] = name_spans(text, scorer.unlikely, scorer.given)
     return _SPAN_CACHE[text]
 
 

@@ -88,6 +88,26 @@ def test_detector_on_held_out_notes(detector):
     assert hits / got > 0.97 and hits / want > 0.95
 
 
+def lower_headers(n: int, seed: int) -> list[tuple[dict, str]]:
+    """Notes of which every fifth has the name of its header in lower case, with that name as it stands."""
+    out = []
+    for i, (row, _) in enumerate(make_notes(n, seed)):
+        label = ["Name: ", "PATIENT: ", "Patient Name: "][i % 3]
+        name = row["name"].lower() if i % 5 == 0 else row["name"]
+        out.append((row | {"note": row["note"].replace(f"Name: {row['name']}", label + name, 1)}, name))
+    return out
+
+
+def test_names_in_lower_case():
+    d = personal.fit_rows([r for r, _ in lower_headers(400, 4)])
+    notes = [(r["note"], name) for r, name in lower_headers(150, 5) if name.islower()]
+    got = [("name", t.index(name), t.index(name) + len(name)) in spans for (t, name), spans in zip(notes, d.spans([t for t, _ in notes]), strict=True)]
+    assert len(got) == 30 and sum(got) >= 29
+    spans = lambda t: {t[s:e] for s, e, *_ in personal.name_spans(t, frozenset(), frozenset({"ulrika", "will"}))}
+    assert "ulrika o'birk-holt" in spans("seen: ulrika o'birk-holt, well") and "birk, ulrika" in spans("for birk, ulrika (MRN") and "w. birk" in spans("Name: w. birk\n") and "birk^ulrika" in spans("x birk^ulrika")
+    assert spans("plain words only, no name here") == set() and "Will birk" in spans("Will birk came")
+
+
 def test_detector_edges(spark, detector):
     rows = [("a", None), ("b", ""), ("c", "Contact [PHONE] or ___, MRN: 0000000000."), ("d", "MRN: 5005912237. " + "Plain text. " * 4000), ("d", "MRN: 5005912237.")]
     df = spark.createDataFrame(rows, "note_id string, note string").withColumn("kind", F.lit(1))
