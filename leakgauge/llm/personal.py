@@ -64,6 +64,8 @@ NOT_PERSON = re.compile(r"^ (?:sign|score|Ward|Pavilion|Wing|Clinic|test|scale|m
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
 _TOKEN = re.compile(rf"(?<![\w'’@.°%])(?<!\d )[{_UP}][^\W\d_]*(?:['’\-][{_UP}][^\W\d_]*)*(?![\w@])")
 _ANY_CASE = re.compile(r"(?<![\w'’@.°%])(?<!\d )[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w@])")
+# a name behind a label of the header, to the end of its line: no sign that its words are plain ones
+_HEADER = re.compile(r"(?:Name|PATIENT): [^\n(]*")
 _GAP = re.compile(r"[ ]|, ?|[ ]?\^[ ]?|\.[ ]|\.,? ")
 _DOT = r"(?:\.| ?[\(\[]dot[\)\]] ?| dot )"
 _AT = r"(?: ?@ ?| ?[\(\[]at[\)\]] ?| at )"
@@ -239,11 +241,11 @@ def rate(pos: float, n: float, prior: float = 0.3, weight: float = 3.0) -> float
 class Scorer:
     """Features of proposals; ``table`` maps context keys to (positives, number)."""
 
-    def __init__(self, table: dict[tuple, tuple[float, float]], given: frozenset[str], lower: dict[str, int], cities: frozenset[str]):
+    def __init__(self, table: dict[tuple, tuple[float, float]], given: frozenset[str], lower: dict[str, int], cities: frozenset[str], surnames: frozenset[str] = frozenset()):
         self.table, self.given, self.lower, self.cities = table, given, lower, cities
         plain = {w for w, n in lower.items() if n >= 5}
         never = {k[2] for k, v in table.items() if k[:2] == ("name", "t") and v[1] >= 30 and v[0] < 0.02 * v[1]}
-        self.unlikely = frozenset((plain | never) - given)
+        self.unlikely = frozenset((plain | never) - given - surnames)
 
     def lookup(self, key: tuple, fold: int | None) -> float:
         got = self.table.get(key)
@@ -482,14 +484,16 @@ def fit_rows(rows: list[dict]) -> Detector:
     doctor: Counter = Counter()
     capital: Counter = Counter()
     places: set[str] = set()
+    family: set[str] = set()
     for r in rows:
         plain = _EMAIL.sub(" ", r["note"])
-        lower.update(set(_LOWER.findall(plain)))
+        lower.update(set(_LOWER.findall(_HEADER.sub(" ", plain))))
         capital.update({w.lower() for w in re.findall(rf"[{_UP}][^\W\d_]*(?:['’\-][^\W\d_]{{2,}})*", plain)})
         for c in ("name", "physician_name"):
             w = str(r.get(c) or "").split()
             if len(w) > 1:
                 given_counts[w[0].lower()] += 1
+                family.update(x.lower() for x in w[1:] if len(x) > 1)
         a = re.split(r",\s*|\n", str(r.get("address") or ""))
         if len(a) > 1:
             cities.add(a[1].strip().lower())
@@ -500,11 +504,12 @@ def fit_rows(rows: list[dict]) -> Detector:
             doctor[m[2].lower()] += 1
     given = frozenset(given_counts)
     surnames = frozenset(w for w, n in doctor.items() if n >= 3) - given
+    protected = (family | surnames) - given
     few = max(2, 0.012 * len(rows))
     strange = lambda w: len(w) > 4 and not lower.get(w) and 0 < capital.get(w, 0) <= few and w not in places
     label = Labeller(given, surnames, frozenset(cities), strange)
     context = Context()
-    scorer = Scorer({}, given, dict(lower), frozenset(cities))
+    scorer = Scorer({}, given, dict(lower), frozenset(cities), protected)
     kept: list[tuple[int, str, tuple, int]] = []
     for i, r in enumerate(rows):
         patient, facts = _facts(r)
@@ -559,7 +564,7 @@ def fit_rows(rows: list[dict]) -> Detector:
         else:
             thresholds[kind], trees[kind] = 0.5, boosting.Trees(-20.0, [], np.zeros((0, 15), np.int64), np.zeros((0, 15), np.int64), np.zeros((0, 16)))
     common = {w: n for w, n in lower.items() if n >= 2}
-    return Detector((context.close(), given, common, frozenset(cities)), trees, thresholds)
+    return Detector((context.close(), given, common, frozenset(cities), protected), trees, thresholds)
 
 
 _SPAN_CACHE: dict[str, list] = {}

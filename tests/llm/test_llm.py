@@ -108,6 +108,17 @@ def test_names_in_lower_case():
     assert spans("plain words only, no name here") == set() and "Will birk" in spans("Will birk came")
 
 
+def test_surnames_written_in_lower_case_are_still_proposed():
+    rows = [r for r, _ in lower_headers(400, 6)]
+    d = personal.fit_rows(rows)
+    scorer = personal.Scorer(*d.scorer_parts)
+    often = [s for s in LAST if sum(f" {s.lower()}" in r["note"] for r in rows) >= 5]
+    assert often and not scorer.unlikely & {s.lower() for s in LAST} and "chart" in scorer.unlikely
+    assert all(any(t == "name" and (s, e) == (0, len(w)) for t, s, e, *_ in personal.proposals(f"{w}'s chart was reviewed.", scorer)) for w in often)
+    plain = personal.Scorer({}, frozenset(), {"birk": 9, "elm": 9}, frozenset(), frozenset({"birk"}))
+    assert plain.unlikely == {"elm"}
+
+
 def test_detector_edges(spark, detector):
     rows = [("a", None), ("b", ""), ("c", "Contact [PHONE] or ___, MRN: 0000000000."), ("d", "MRN: 5005912237. " + "Plain text. " * 4000), ("d", "MRN: 5005912237.")]
     df = spark.createDataFrame(rows, "note_id string, note string").withColumn("kind", F.lit(1))
