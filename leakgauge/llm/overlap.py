@@ -73,12 +73,15 @@ def _routed(records: DataFrame, near_types: list[str], train: bool) -> DataFrame
     words = F.split("form", " ")
     base = records.withColumn("words", words)
     whole = base.select("pii_type", "form", F.lit("=").alias("way"), F.col("form").alias("others"), F.lit("").alias("word"), F.lit("").alias("edge"))
-    at = base.filter(F.col("pii_type").isin(near_types)).select("pii_type", "form", "words", F.posexplode("words").alias("k", "word")).filter(F.col("word").rlike(r"\p{L}"))
+    at = base.filter(F.col("pii_type").isin(near_types)).select("pii_type", "form", "words", F.posexplode("words").alias("k", "word"))
     at = at.withColumn("others", F.array_join(F.filter("words", lambda w, k: k != F.col("k")), " ")).withColumn("n", F.length("word"))
-    lone = at.filter((F.col("n") == 1) & (F.size("words") > 1)).select("pii_type", "form", F.lit("-").alias("way"), "others", F.lit("").alias("word"), F.lit("").alias("edge"))
+    lone = at.filter((F.col("n") == 1) & (F.size("words") > 1) & F.col("word").rlike(r"\p{L}")).select("pii_type", "form", F.lit("-").alias("way"), "others", F.lit("").alias("word"), F.lit("").alias("edge"))
     if train:
         # the evaluation word has one letter less, as many or one more
-        reach = lambda half: F.array_distinct(F.transform(F.array(*(F.greatest(F.col("n") + d, F.lit(1)) for d in (-1, 0, 1))), lambda n: F.least(half(n).cast("int"), F.lit(EDGE), F.col("n"))))
+        sizes = lambda *steps: F.array(*(F.greatest(F.col("n") + d, F.lit(1)) for d in steps))
+        # a word of digits has no letter to lose or replace, so only one more can stand in the other
+        evals = F.when(F.col("word").rlike(r"\p{L}"), sizes(-1, 0, 1)).otherwise(sizes(1))
+        reach = lambda half: F.array_distinct(F.transform(evals, lambda n: F.least(half(n).cast("int"), F.lit(EDGE), F.col("n"))))
         first, last = reach(lambda n: F.floor(n / 2)), reach(lambda n: F.ceil(n / 2))
     else:
         first = F.array(F.least(F.floor(F.col("n") / 2).cast("int"), F.lit(EDGE)))

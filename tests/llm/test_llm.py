@@ -303,6 +303,20 @@ def test_overlap_against_brute_force(spark):
     assert overlap.eval_overlaps(df.limit(0), "row_id", "value", "pii_type", "split").count() == 0
 
 
+def test_a_letter_beside_a_number_both_ways(spark):
+    words = ["1", "12", "123", "1234", "12345678"]
+    pairs = [(w, w[:k] + "b" + w[k:]) for w in words for k in range(len(w) + 1)]
+    rows, near = [], set()
+    for i, (a, b) in enumerate(pairs):
+        for way, (x, y) in enumerate([(a, b), (b, a)]):
+            rows += [(4 * i + 2 * way, f"{x} Oak{chr(97 + i)}{way} Street", "address", "val"), (4 * i + 2 * way + 1, f"{y} Oak{chr(97 + i)}{way} Street", "address", "train")]
+            near.add(4 * i + 2 * way)
+    rows += [(9000, "12 Elm Row", "address", "val"), (9001, "13 Elm Row", "address", "train"), (9002, "123 Elm Row", "address", "train"), (9003, "1b Elm Row", "address", "train")]
+    df = spark.createDataFrame(rows, "row_id long, value string, pii_type string, split string")
+    got = overlap.eval_overlaps(df, "row_id", "value", "pii_type", "split").collect()
+    assert {r.row_id for r in got if r.near} == near and not any(r.exact for r in got)
+
+
 def test_coverage():
     assert overlap.covered([(0, 4), (2, 6), (8, 9)]) == 7 and overlap.one_letter_apart("abcd", "abxd") == 3 and overlap.one_letter_apart("abc", "ab1") == -1 and overlap.one_letter_apart("a", "abc") == -1
 
