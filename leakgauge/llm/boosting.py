@@ -24,17 +24,49 @@ class Trees:
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.uint8) if len(x) and self.edges else np.zeros((len(x), len(self.edges)), np.uint8)
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        b = self.binned(np.asarray(x, np.float32))
-        score, rows = np.full(len(b), self.base), np.arange(len(b))
-        inner = self.feature.shape[1] if len(self.feature) else 0
-        for f, c, leaf in zip(self.feature, self.cut, self.leaf, strict=True):
-            at = np.zeros(len(b), np.int64)
-            while len(b) and at[0] < inner:
-                at = 2 * at + 1 + (b[rows, f[at]] > c[at])
+    def __post_init__(self) -> None:
+        # a row goes right if its value is over the edge at the cut, so rows need not be binned to be scored
+        self.values = np.full(self.feature.shape, np.inf, np.float32)
+        for j, e in enumerate(self.edges):
+            here = (self.feature == j) & (self.cut < len(e))
+            self.values[here] = e[self.cut[here]]
+        self.reach = np.append(np.cumsum(self.leaf.max(1)[::-1])[::-1], 0.0) if len(self.leaf) else np.zeros(1)
+
+    def _add(self, x: np.ndarray, score: np.ndarray, first: int, last: int) -> None:
+        inner, rows = self.feature.shape[1], np.arange(len(x))
+        for f, v, leaf in zip(self.feature[first:last], self.values[first:last], self.leaf[first:last], strict=True):
+            at = np.zeros(len(x), np.int64)
+            while len(x) and at[0] < inner:
+                at = 2 * at + 1 + (x[rows, f[at]] > v[at])
             score += leaf[at - inner]
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, np.float32)
+        score = np.full(len(x), self.base)
+        self._add(x, score, 0, len(self.feature))
         return 1 / (1 + np.exp(-score))
 
+    def reaching(self, x: np.ndarray, threshold: float, step: int = 6) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose probability is at least ``threshold`` and their probabilities.
+
+        A row is left as soon as the best leaves of all trees to come could not lift it to the threshold.
+        """
+        goal = float(np.log(threshold / (1 - threshold))) - 1e-9
+        rows, score = np.arange(len(x)), np.full(len(x), self.base)
+        for first in range(0, len(self.feature), step):
+            alive = score + self.reach[first] >= goal
+            if not alive.all():
+                rows, score, x = rows[alive], score[alive], x[alive]
+            self._add(x, score, first, first + step)
+        p = 1 / (1 + np.exp(-score))
+        keep = p >= threshold
+        return rows[keep], p[keep]
+
+
+def nothing() -> Trees:
+    """Trees that accept no row."""
+    return Trees(-20.0, [], np.zeros((0, 15), np.int64), np.zeros((0, 15), np.int64), np.zeros((0, 16)))
+
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 48, depth: int = 4, rate: float = 0.2, l2: float = 1.0, least: float = 4.0) -> Trees:
     """Logistic boosting with exact histograms of the binned features; no randomness."""
@@ -50,7 +82,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 48, depth: int = 4, rate: flo
     empty = Trees(base, edges, np.zeros((0, inner), np.int64), np.zeros((0, inner), np.int64), np.zeros((0, inner + 1)))
     if not len(y) or y.min() == y.max() or not width:
         return empty
-    b = empty.binned(x).astype(np.int64)
+    b = np.ascontiguousarray(empty.binned(x).T).astype(np.int64)  # one row a feature
+    split = [j for j in range(width) if len(edges[j])]
     score = np.full(len(y), base)
     features, cuts, leaves = [], [], []
     for _ in range(trees):
@@ -62,8 +95,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 48, depth: int = 4, rate: flo
             first, n = 2**level - 1, 2**level
             local = node - first
             gain, f_best, c_best = np.full(n, 1e-9), np.zeros(n, np.int64), np.full(n, BINS, np.int64)
-            for j in range(width):
-                key = local * BINS + b[:, j]
+            first_bin = local * BINS
+            for j in split:
+                key = first_bin + b[j]
                 hg = np.bincount(key, g, n * BINS).reshape(n, BINS)
                 hh = np.bincount(key, h, n * BINS).reshape(n, BINS)
                 gl, hl = hg.cumsum(1), hh.cumsum(1)
@@ -75,7 +109,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 48, depth: int = 4, rate: flo
                 better = v > gain
                 gain[better], f_best[better], c_best[better] = v[better], j, k[better]
             f_t[first : first + n], c_t[first : first + n] = f_best, c_best
-            node = 2 * node + 1 + (b[np.arange(len(y)), f_best[local]] > c_best[local])
+            node = 2 * node + 1 + (b[f_best[local], np.arange(len(y))] > c_best[local])
         at = node - inner
         leaf = -rate * np.bincount(at, g, inner + 1) / (np.bincount(at, h, inner + 1) + l2)
         score += leaf[at]

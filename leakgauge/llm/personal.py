@@ -1,30 +1,39 @@
 """Personal information inside free text (problem 2).
 
-High-recall generators (names in any case behind a label or beside a known
-given name, capitalised ones everywhere) propose overlapping spans for each kind. Boosted trees
-score every proposal by its format and context, thresholds calibrated on
-held-out notes choose, and the best spans that do not overlap are redacted.
+High-recall generators propose overlapping spans for each kind: runs of
+capitalised words, runs of words in any case behind a context that names stand
+behind or with a known given name, numbers of a telling length, whatever holds
+an at sign, and house numbers or boxes with the parts of an address behind
+them. Boosted trees score every proposal by its format and context, thresholds
+calibrated on held-out notes choose, and the best spans that do not overlap are
+redacted. No proposal is dropped before the trees have seen it.
 
 The trees, the context statistics and the thresholds are fitted on a bounded
-sample of notes (``SAMPLE_NOTES``, a parameter). Its labels are distant: a
-note of a subject whose persona is known names that patient, their relatives
-(same surname), numbers, mail and address; numbers with a telling label and
-persons with a title are labelled by it. Spans nothing is known about take no
-part in fitting. Every note is scored whole.
+sample of notes (``SAMPLE_NOTES``, ``SAMPLE_CHARS``, ``MOST_ROWS``). Its labels
+come from facts, not from lists of cues: the persona of the note's subject says
+which names, numbers, mail and address are personal. What no fact speaks of is
+a counterexample only where its context or format has never gone with a fact
+in the sample, else it takes no part. Given names, cities and the share of
+notes in which a word stands in small letters are counted over all rows. Every
+note is scored whole.
+
+A name of more than ``MOST_WORDS`` words comes out as its accepted parts, which
+are joined where only a blank or hyphen stands between them.
 
 Defined results: a NULL note has no span and stays NULL, an empty one stays
 empty; blanks, bracketed placeholders and stand-ins for an unknown number (one
-digit repeated) are never proposed; without any persona the labels by context
-alone are used; an empty table gives no row.
+digit repeated) are never proposed; without any persona there is no label and
+nothing is found; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-import math
+import bisect
 import re
 import warnings
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -33,43 +42,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakgauge.llm import boosting
-from leakgauge.session import ship
+from leakgauge.llm.page import CAPITAL, DIGIT, LINE, SMALL, WORD, Hashed, Page, member, mix, word_hashes
+from leakgauge.session import ship, stable
 
 KINDS = ("name", "email", "phone", "id", "address")
-#: Names with a word in lower case have trees and a threshold of their own, so that the many words no name is made of do not move those of the others.
+#: Names with a word in small letters have trees and a threshold of their own, so that the many words no name is made of do not move those of the others.
 LOWER = "lower"
 MODELS = (*KINDS, LOWER)
 SAMPLE_NOTES = 6000
 SAMPLE_CHARS = 6000
 #: About as many labelled proposals of a kind are fitted; of more, whole notes are drawn by hash.
-MOST_ROWS = 40_000
+MOST_ROWS = 20_000
 FOLDS = 3
+#: Every so many notes are fitted once more with the contexts unknown.
+MASKED = 8
 #: A name left standing costs more than a word too many: thresholds are calibrated on this F score.
 BETA = 2.0
+MOST_WORDS = 4
+#: Given names and cities in fewer than this share of the personas, and small words in fewer notes, are in no lexicon: a bound on their number at any size.
+LEXICON_SHARE, SMALL_SHARE = 1e-5, 2e-4
+#: A context seen so often and with a fact in at most this share of cases is a counterexample.
+SEEN, NEVER = 10, 0.02
+#: A cue: so many of the capitalised words behind it are known or strange names, and so many begin a persona's name. Names in small letters are proposed there too.
+CUE, CUE_FACTS = 0.95, 0.005
+PAGE_CHARS = 200_000
 
 # Words that go with a name and are no part of it.
 TITLES = frozenset("dr dres mr mrs ms mx miss prof professor sir md phd rn np pa do esq jr sr doctor frau herr sra srta señor señora mme mlle".split())
 # Words for streets.
 STREET = r"Street|Road|Avenue|Lane|Court|Row|Terrace|Boulevard|Drive|Close|Square|Way|Place|Walk|Crescent|Gardens|Hill|Park|Mews|St|Rd|Ave|Ln|Ct|Blvd|Dr|Ter"
-# Labels that tell the kind of the number after them, for distant labels only.
-TELLS = {
-    "phone": re.compile(r"(?i)(?:phone|tel|tel\.-nr\.|mobile \(preferred\)|fax/|pager|home#|teléfono|daytime number|call back on)[ .:#/]*$"),
-    "id": re.compile(r"(?i)(?:mrn|unit no|record number|ssn|soc sec|social security (?:no|number)|national id)[ .:#=]*$"),
-    "": re.compile(r"(?i)(?:accession|lot|order|serial|ref\.?|batch|device|sample|barcode)[ .:#=]*$"),
-}
-_LABEL = re.compile(r"(?:\b(?:Dr|Mr|Mrs|Ms|Mx)\.? |Attending: (?:Dr\.? )?|Seen by (?:Dr\.? )?|Name: |PATIENT: |concerns |[Ss]igned: |Signed/(?:Dr\.? )?|Dictated by |Typed for )")
-PERSON_TELL = re.compile(_LABEL.pattern + "$")
-NOT_PERSON = re.compile(r"^ (?:sign|score|Ward|Pavilion|Wing|Clinic|test|scale|manoeuvre|criteria|period)\b")
 
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
-_TOKEN = re.compile(rf"(?<![\w'’@.°%])(?<!\d )[{_UP}][^\W\d_]*(?:['’\-][{_UP}][^\W\d_]*)*(?![\w@])")
-_ANY_CASE = re.compile(r"(?<![\w'’@.°%])(?<!\d )[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w@])")
-# a name behind a label of the header, to the end of its line: no sign that its words are plain ones
-_HEADER = re.compile(r"(?:Name|PATIENT): [^\n(]*")
-_GAP = re.compile(r"[ ]|, ?|[ ]?\^[ ]?|\.[ ]|\.,? ")
 _DOT = r"(?:\.| ?[\(\[]dot[\)\]] ?| dot )"
 _AT = r"(?: ?@ ?| ?[\(\[]at[\)\]] ?| at )"
 _EMAIL = re.compile(rf"(?i)(?<![\w.+@-])[a-z0-9_%+\-]+(?:{_DOT}[a-z0-9_%+\-]+)*{_AT}[a-z0-9\-]+(?:{_DOT}[a-z0-9\-]+)+")
+_DOMAIN = re.compile(rf"(?i) ?{_AT}[a-z0-9\-]+{_DOT}[a-z0-9\-]")
+#: An address has at most 64 characters before the sign and 255 behind it; spelt-out dots and signs make it longer.
+EMAIL_WINDOW, EMAIL_NEAR = 600, 60
 _NUMBERS = re.compile(
     r"(?=[\d+(])(?<![\d])(?<!\d[.\-/,])(?<![A-Za-z]-)"
     r"(?:\+\d{1,3}[ .\-]?(?:\(0\))?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]?\d{3,4}|1[ .\-]\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|\+\d{10,13}"
@@ -78,529 +87,759 @@ _NUMBERS = re.compile(
     r"(?!\d)(?![.\-/]\d)(?!\w)"
 )
 _ADDRESS_HEAD = re.compile(rf"(?:(?:P\.? ?O\.? ?Box|p\.o\. box|P\.O\. BOX|PO BOX) \d+|(?<![\w.,\-/])\d{{1,5}}[A-Za-z]?,? (?:[{_UP}][\w'’\-]*\s){{1,3}}(?:{STREET}|{STREET.upper()})\b\.?)")
+_BOX = re.compile(r"(?i)p\.? ?o\.? ?box $")
 _BREAK = r"(?:,\s{0,3}|\s{0,2}\r?\n\s{0,2})"
 _APT = re.compile(rf"{_BREAK}(?:Apt|Flat|Unit|Suite|Apartment|Floor|APT|FLAT|UNIT|SUITE)\.? ?#?\w+|{_BREAK}#\d+")
 _CITY = re.compile(rf"{_BREAK}[{_UP}][\w'’\-]*(?: [{_UP}][\w'’\-]*){{0,2}}")
 _CODE = re.compile(rf"(?:{_BREAK}| )[A-Z]{{2}},? \d{{4,5}}(?:-\d{{4}})?\b|(?:{_BREAK}| )\d{{4,5}}\b")
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|[^\w\s]")
-_LOWER = re.compile(r"(?<![\w])[a-zà-ÿа-я][a-zà-ÿа-яё]*")
+_NAME_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
 def digits(s: str) -> str:
     return re.sub(r"\D", "", s)
 
 
+def tidy(s: str) -> str:
+    return re.sub(r"[\W_]+", "", s.lower())
+
+
 def shape(s: str) -> str:
     return re.sub(r"\d", "9", s)
 
 
-def before_words(text: str, at: int, n: int = 3) -> list[str]:
-    """The last words and signs before ``at``, nearest first."""
-    got = _WORD.findall(text[max(0, at - 40) : at])[::-1][:n]
-    return [("9" if w.isdigit() else w) for w in got] + ["^"] * (n - len(got))
+class Lexica:
+    """Given names, small words with the share of notes they stand in, contexts that names stand behind (all as hashes), and cities as text."""
+
+    def __init__(self, given: np.ndarray, cities: frozenset[str], small: np.ndarray, share: np.ndarray, cues: np.ndarray | None = None):
+        self.given, self.cities, self.small, self.share, self.cues = given, cities, small, share, np.zeros(0, np.uint64) if cues is None else cues
+        # of a small word the log of the notes out of 6,000 that hold it
+        self.is_given, self.is_cue, self.log_notes = Hashed(given), Hashed(self.cues), Hashed(small, np.log1p(6000 * np.asarray(share)))
+
+
+_IS_TITLE = Hashed(word_hashes(TITLES))
+
+
+@dataclass
+class Spans:
+    """Proposals of one model on a page: where they stand, their context keys and features without the context rates."""
+
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    keys: np.ndarray  # proposals x contexts
+    plain: np.ndarray  # proposals x features
+    extra: object = None
+
+
+def small_words(page: Page, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """doc and hash of the distinct words in small letters of every text, without those of mail addresses and beside a given name in small letters."""
+    w = np.flatnonzero(page.type == WORD)
+    s, e, h = page.start[w], page.end[w], page.low[w]
+    plain = page.kind[s] == SMALL
+    named = plain & member(given, h)
+    beside = (s[1:] - e[:-1] <= 2) & (page.doc[w][1:] == page.doc[w][:-1])
+    near = named.copy()
+    near[1:] |= named[:-1] & beside
+    near[:-1] |= named[1:] & beside
+    before, behind, then = page.char(s - 1), page.char(e), page.char(e + 1)
+    joined = np.isin(before, [ord(c) for c in "@._+-"]) | np.isin(behind, [ord(c) for c in "@_"]) | ((behind == ord(".")) & (page.kind[np.minimum(e + 1, len(page.kind) - 1)] == SMALL) & (then > 0))
+    keep = plain & ~near & ~joined
+    pairs = np.unique(np.stack([page.doc[w][keep].astype(np.uint64), h[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.uint64)
+    return pairs[:, 0].astype(np.int64), pairs[:, 1]
+
+
+class Words:
+    """The words of a page and how they stand to one another."""
+
+    def __init__(self, page: Page, lexica: Lexica):
+        self.page = page
+        w = self.token = np.flatnonzero(page.type == WORD)
+        s, e = self.start, self.end = page.start[w], page.end[w]
+        self.doc, self.low = page.doc[w], page.low[w]
+        n, kind = len(w), page.kind
+        before, behind = page.char(s - 1), page.char(e)
+        inside = lambda at: kind[np.clip(at, 0, len(kind) - 1)]
+        first = s == page.begin[self.doc]
+        bad = np.isin(before, [ord(c) for c in "'’@.°%"]) | np.isin(inside(s - 1), (DIGIT, LINE))
+        bad |= (before == 32) & (inside(s - 2) == DIGIT) & (s - 2 >= page.begin[self.doc])
+        self.valid = (first | ~bad) & (behind != ord("@")) & ~np.isin(inside(e), (DIGIT, LINE))
+        self.capital = kind[s] == CAPITAL
+        self.size = e - s
+        self.title = _IS_TITLE.has(self.low)
+        self.given = lexica.is_given.has(self.low)
+        self.counts = lexica.log_notes.get(self.low)
+        capitals = np.concatenate([[0], np.cumsum(kind == CAPITAL)])
+        letters = np.concatenate([[0], np.cumsum((kind == CAPITAL) | (kind == SMALL))])
+        self.upper = (capitals[e] - capitals[s]) == (letters[e] - letters[s])
+        self.parted = (letters[e] - letters[s]) < self.size
+        # joined[i]: word i and word i + 1 can stand in one name
+        gap = s[1:] - e[:-1]
+        c0, c1, c2 = (page.char(e[:-1] + k) for k in range(3))
+        one = self.size[:-1] == 1
+        sp, cm, ht, dt = (ord(c) for c in " ,^.")
+        ok = (gap == 1) & ((c0 == sp) | (c0 == cm) | (c0 == ht) | (one & (c0 == dt)))
+        ok |= (gap == 2) & (((c0 == cm) & (c1 == sp)) | ((c0 == sp) & (c1 == ht)) | ((c0 == ht) & (c1 == sp)) | (one & (c0 == dt) & ((c1 == sp) | (c1 == cm))))
+        ok |= (gap == 3) & (c2 == sp) & (((c0 == sp) & (c1 == ht)) | (one & (c0 == dt) & (c1 == cm)))
+        same = self.doc[1:] == self.doc[:-1] if n else np.zeros(0, bool)
+        self.joined = np.concatenate([ok & same & self.valid[1:] & self.valid[:-1], [False]]) if n else np.zeros(0, bool)
+        self.comma = (page.char(e) == cm) & self.joined
+        self.cue_keys = self._cue_keys()
+        self.cue = lexica.is_cue.has(self.cue_keys)
+
+    def _cue_keys(self) -> np.ndarray:
+        p, t = self.page, self.token
+        line = self.page.char(self.start - 1) == ord("\n")  # what stands in the line before is no label
+        return mix("cue", p.around(t - 2, self.doc, p.low), p.around(t - 1, self.doc, p.low), line)
+
+    def after_keys(self, token: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """What follows in the same line."""
+        return mix("after", self.page.around(token + 1, doc), self.page.char(end) == ord(" "))
+
+    def late_comma(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a comma stands behind the second or a later word inside a proposal; in one name it can only stand behind the first."""
+        return np.any([self.comma[np.minimum(i + k, j)] & (i + k < j) for k in range(1, MOST_WORDS - 1)], axis=0)
+
+    def seen(self) -> np.ndarray:
+        """How often each word stands capitalised in its text."""
+        if not len(self.token):
+            return np.zeros(0)
+        _, inverse = np.unique(mix(self.doc, self.low), return_inverse=True)
+        return np.bincount(inverse, self.capital)[inverse]
+
+
+def context_keys(page: Page, model: str, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Keys of what stands before token ``first`` and behind token ``last``."""
+    b1, b2, b3 = (page.around(first - k, doc) for k in (1, 2, 3))
+    a1, a2 = page.around(last + 1, doc), page.around(last + 2, doc)
+    base = mix(model)[0]
+    near = (mix(base, 1, b1), mix(base, 2, b2, b1), mix(base, 3, b3, b2), mix(base, 4, a1), mix(base, 5, a1, a2), mix(base, 6, b1, a1))
+    return np.stack(near, axis=1) if len(first) else np.zeros((0, 6), np.uint64)
+
+
+_WORD_KEY = mix("word")[0]
+
+
+def name_proposals(page: Page, words: Words) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """first word, last word and end of every proposal, by model: up to MOST_WORDS words that can stand in one name.
+
+    All of them are capitalised, or they start behind a cue or hold a given name.
+    """
+    n = len(words.token)
+    out: dict[str, list] = {"name": [], LOWER: []}
+    fine = words.valid & ~words.title
+    run, caps, named = fine.copy(), words.capital.copy(), words.given.copy()
+    for size in range(1, MOST_WORDS + 1):
+        m = n - size + 1
+        if m <= 0:
+            break
+        if size > 1:
+            k = size - 1
+            run = run[:m] & words.joined[k - 1 : k - 1 + m] & fine[k:]
+            caps, named = caps[:m] & words.capital[k:], named[:m] | words.given[k:]
+        i = np.flatnonzero(run & (caps | named | words.cue[:m]))
+        j = i + size - 1
+        lone = words.size[j] == 1
+        end = words.end[j] + lone
+        keep = ~lone | ((size > 1) & (page.char(words.end[j]) == ord(".")))
+        keep &= ~np.isin(page.char(words.start[i] - 1), [ord(c) for c in "[_*"]) & ~np.isin(page.char(end), [ord(c) for c in "]_"])
+        cap = caps[i]
+        for model, part in (("name", keep & cap), (LOWER, keep & ~cap)):
+            out[model].append((i[part], j[part], end[part]))
+    return {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) if v else (np.zeros(0, np.int64),) * 3 for k, v in out.items()}
+
+
+def repeats(words: Words, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a word stands twice in a proposal."""
+    out = np.zeros(len(i), bool)
+    for a in range(MOST_WORDS - 1):
+        for b in range(a + 1, MOST_WORDS):
+            out |= (i + b <= j) & (words.low[np.minimum(i + a, j)] == words.low[np.minimum(i + b, j)])
+    return out
 
 
-def after_words(text: str, at: int, n: int = 2) -> list[str]:
-    got = _WORD.findall(text[at : at + 30])[:n]
-    return [("9" if w.isdigit() else w) for w in got] + ["$"] * (n - len(got))
+def name_features(page: Page, words: Words, model: str, i: np.ndarray, j: np.ndarray, end: np.ndarray, seen: np.ndarray) -> Spans:
+    doc, s = words.doc[i], words.start[i]
+    token = context_keys(page, model, words.token[i], words.token[j], doc)
+    n = j - i + 1
+    at = [np.minimum(i + k, j) for k in range(MOST_WORDS)]  # the last word again where there are fewer
+    spread = lambda x, how: how(np.stack([x[a] for a in at]), axis=0)
+    total = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.float64)])[j + 1] - np.concatenate([[0], np.cumsum(x, dtype=np.float64)])[i]
+    left_ok = np.concatenate([[False], words.joined[:-1]])[i] if len(words.joined) else np.zeros(0, bool)
+    right_ok = words.joined[j]
+    li, ri = np.maximum(i - 1, 0), np.minimum(j + 1, max(len(words.token) - 1, 0))
+    beside = lambda x, ok, k: np.where(ok, x[k], 0).astype(np.float32)
+    prev, nxt = page.char(s - 1), page.char(end)
+    begins = s == page.begin[doc]
+    sign = lambda c, chars: np.isin(c, [ord(x) for x in chars])
+    inner = [page.char(words.end[np.minimum(i + k, j)]) for k in range(MOST_WORDS - 1)]
+    between = lambda chars: np.any([sign(c, chars) & (i + k < j) for k, c in enumerate(inner)], axis=0)
+    hat = between("^") | np.any([sign(page.char(words.end[np.minimum(i + k, j)] + 1), "^") & (i + k < j) for k in range(MOST_WORDS - 1)], axis=0)
+    plain = [
+        n, left_ok & words.capital[li], right_ok & words.capital[ri], begins | sign(prev, "\n"), sign(prev, " "), sign(prev, "/(\"'"), sign(nxt, "'’"), sign(nxt, ".,;"), sign(nxt, "\r\n"),
+        hat, between(","), spread(words.upper, np.all), spread(words.size, np.min) == 1, spread(words.parted, np.any),
+        words.given[i], words.given[j], total(words.given), spread(words.counts, np.max), spread(words.counts, np.min), total(words.counts) / n,
+        spread(words.size, np.max), spread(words.size, np.min), beside(words.given, left_ok, li), beside(words.counts, left_ok, li), beside(words.title, left_ok, li), beside(words.size, left_ok, li),
+        beside(words.given, right_ok, ri), beside(words.counts, right_ok, ri), beside(words.title, right_ok, ri), beside(words.size, right_ok, ri),
+        np.minimum(9, spread(seen, np.min)), np.minimum(9, spread(seen, np.max)), total(words.capital) / n, words.cue[i], repeats(words, i, j), words.late_comma(i, j),
+    ]
+    own = [mix(_WORD_KEY, words.low[a]) for a in at]
+    edge = [mix(_WORD_KEY, np.where(ok, words.low[k], np.uint64(0))) for ok, k in ((left_ok, li), (right_ok, ri))]
+    keys = np.concatenate([token, np.stack([*own, *edge], axis=1)], axis=1) if len(i) else np.zeros((0, 6 + MOST_WORDS + 2), np.uint64)
+    return Spans(s, end, doc, keys, np.stack([np.asarray(x, np.float32) for x in plain], axis=1) if len(i) else np.zeros((0, len(plain)), np.float32), (i, j))
 
 
 def _bracketed(text: str, s: int, e: int) -> bool:
     return s > 0 and text[s - 1] in "[_*" or e < len(text) and text[e] in "]_"
 
 
-def model_of(words: tuple[str, ...]) -> str:
-    return LOWER if any(w[0].islower() for w in words) else "name"
-
-
-def _joined(text: str, left: tuple[int, int, str], right: tuple[int, int, str]) -> bool:
-    """Whether two neighbouring words can stand in one name."""
-    gap = text[left[1] : right[0]]
-    return _GAP.fullmatch(gap) is not None and ("." not in gap or len(left[2]) == 1)
-
-
-def _whole(text: str, s: int, e: int, words: tuple[str, ...]) -> int | None:
-    """End of the span with the dot of a last initial, None where it is no proposal."""
-    if any(w.lower() in TITLES for w in words):
-        return None
-    if len(words[-1]) == 1 and (len(words) == 1 or text[e : e + 1] != "."):
-        return None
-    end = e + (len(words[-1]) == 1)
-    return None if _bracketed(text, s, end) else end
-
-
-def any_case_spans(text: str, given: frozenset[str]) -> list[tuple[int, int, tuple[str, ...], int, int]]:
-    """As ``name_spans``, the spans with a word in lower case: up to four words that start behind a name label or hold a given name."""
-    found: dict[tuple[int, int], tuple] = {}
-    labels = {m.end() for m in _LABEL.finditer(text)}
-    tokens = [(m.start(), m.end(), m[0]) for m in _ANY_CASE.finditer(text)]
-    for k, (s, _, w) in enumerate(tokens):
-        label, named = s in labels, w.lower() in given
-        if not label and not named:
-            continue
-        lo = hi = k
-        while named and k - lo < 2 and lo > 0 and tokens[lo][0] not in labels and _joined(text, tokens[lo - 1], tokens[lo]):
-            lo -= 1
-        while hi - k < 3 and hi + 1 < len(tokens) and _joined(text, tokens[hi], tokens[hi + 1]):
-            hi += 1
-        for i in range(lo, k + 1):
-            for j in range(k, min(i + 4, hi + 1)):
-                words = tuple(t[2] for t in tokens[i : j + 1])
-                if model_of(words) == LOWER and (end := _whole(text, tokens[i][0], tokens[j][1], words)) is not None:
-                    found.setdefault((tokens[i][0], end), (tokens[i][0], end, words, i - lo, hi - j))
-    return list(found.values())
-
-
-def name_spans(text: str, unlikely: frozenset[str], given: frozenset[str] = frozenset()) -> list[tuple[int, int, tuple[str, ...], int, int]]:
-    """(start, end, tokens, first, last) of up to four capitalised tokens, and of words of any case beside a name label or a given name.
-
-    first and last place the tokens among the neighbours in the run. Runs of
-    capitalised words that are hardly ever part of a name are left out unless a
-    title or the like stands before them.
-    """
-    found, run = [], []
-    tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
-
-    def close() -> None:
-        for i in range(len(run)):
-            for j in range(i, min(i + 4, len(run))):
-                words = tuple(t[2] for t in run[i : j + 1])
-                if all(w.lower() in unlikely or len(w) == 1 for w in words) and not PERSON_TELL.search(text, max(0, run[i][0] - 24), run[i][0]):
-                    continue
-                if (end := _whole(text, run[i][0], run[j][1], words)) is not None:
-                    found.append((run[i][0], end, words, i, len(run) - 1 - j))
-
-    for t in tokens:
-        s, e, w = t
-        if w.isupper() and w[-2:] in ("'S", "’S"):
-            t = (s, e - 2, w[:-2])
-        if run and not _joined(text, run[-1], t):
-            close()
-            run = []
-        run.append(t)
-    close()
-    return found + any_case_spans(text, given)
-
-
-def number_spans(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in _NUMBERS.finditer(text):
-        d = digits(m[0])
-        if len(set(d)) > 1 and not _bracketed(text, m.start(), m.end()):
-            out.append((m.start(), m.end()))
+def _spanned(page: Page, model: str, found: list[tuple[int, int]], plain: list[list[float]], width: int, formats: list[str], extra: object = None) -> Spans:
+    """Spans found by patterns, with the keys of their context and format."""
+    if not found:
+        return Spans(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros((0, 7), np.uint64), np.zeros((0, width), np.float32), extra)
+    s, e = np.array(found, np.int64).T
+    doc = np.searchsorted(page.begin, s, side="right") - 1
+    first = np.searchsorted(page.end, s, side="right")  # the first token that ends behind the start
+    last = np.searchsorted(page.start, e, side="left") - 1
+    keys = context_keys(page, model, first, last, doc)
+    form = np.array([crc32(f.encode("utf-8", "replace")) for f in formats], np.uint64)
+    return Spans(s, e, doc, np.concatenate([keys, mix(mix(model)[0], 7, form)[:, None]], axis=1), np.array(plain, np.float32), extra)
+
+
+def number_places(page: Page) -> list[tuple[int, int]]:
+    """Numbers of a telling length, left to right, without stand-ins and placeholders."""
+    digit = page.kind == DIGIT
+    ahead = np.concatenate([[0], np.cumsum(digit)])
+    n, cp = len(page.cp), page.cp
+    opens = np.flatnonzero((digit & ~np.concatenate([[False], digit[:-1]])) | (cp == ord("+")) | (cp == ord("(")))
+    opens = opens[ahead[np.minimum(opens + 24, n)] - ahead[opens] >= 6]
+    out, reach = [], 0
+    for at in opens.tolist():
+        if at >= reach and (m := _NUMBERS.match(page.text, at)):
+            reach = m.end()
+            if len(set(digits(m[0]))) > 1 and not _bracketed(page.text, at, reach):
+                out.append((at, reach))
     return out
 
 
-def address_spans(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, parts, room) with parts out of ``h`` head, ``a`` flat, ``c`` city, ``z`` code, shorter forms too; room: parts that would still follow."""
-    out = []
-    for m in _ADDRESS_HEAD.finditer(text):
-        ends, at, parts = [(m.end(), "h")], m.end(), "h"
+def number_spans(page: Page, places: list[tuple[int, int]], kind: str) -> Spans:
+    plain, formats = [], []
+    for s, e in places:
+        t = page.text[s:e]
+        d, prev = digits(t), page.text[s - 1] if s else "\n"
+        formats.append(shape(t))
+        plain.append([len(d), len(t) - len(d), t[0] == "+", "(" in t, "." in t, "-" in t, "/" in t, " " in t, d[0] == "0", d[:2] in ("00", "01", "02", "03", "07"), d[0] == "9", d[0] == "1", prev == "#", prev == "=", prev == "/", len(d) == 9, len(d) == 10])
+    return _spanned(page, kind, places, plain, 17, formats)
+
+
+def email_spans(page: Page) -> Spans:
+    cp, text = page.cp, page.text
+    a = np.flatnonzero((cp[:-1] == ord("a")) | (cp[:-1] == ord("A")))
+    a = a[np.isin(cp[a + 1], (ord("t"), ord("T"))) & np.isin(page.char(a - 1), [ord(c) for c in " ([" ]) & np.isin(page.char(a + 2), [ord(c) for c in " )]"])] - 1
+    anchors = np.sort(np.concatenate([np.flatnonzero(cp == ord("@")), a]))
+    found, plain, formats, reach = [], [], [], 0
+    for at in anchors.tolist():
+        if at < reach or not _DOMAIN.match(text, at):
+            continue
+        doc = bisect.bisect_right(page.begin, at) - 1
+        floor, hi = max(int(page.begin[doc]), at - EMAIL_WINDOW, reach), min(int(page.begin[doc + 1]) - 1, at + EMAIL_WINDOW)
+        for back in (EMAIL_NEAR, EMAIL_WINDOW):
+            lo = max(floor, at - back)
+            m = next((m for m in _EMAIL.finditer(text, lo, hi) if m.end() > at), None)
+            if m and m.start() > at:
+                m = None
+            if lo == floor or (m and m.start() > lo + 8):
+                break  # a wider window finds no longer one
+        if m:
+            t, reach = m[0], m.end()
+            low = t.lower()
+            tail = re.split(r"[^a-z0-9\-]+", low)[-1]
+            found.append(m.span())
+            formats.append(tail)
+            plain.append(["@" in t, " at " in low, "(" in t or "[" in t, t.count("."), len(t), len(tail), tail.isalpha(), any(c.isdigit() for c in t), t.count(" ")])
+    return _spanned(page, "email", found, plain, 9, formats)
+
+
+def address_spans(page: Page, lexica: Lexica) -> Spans:
+    """Every head of an address with none, some and all of the parts behind it; extra: number of the head and parts that would still follow."""
+    text, n = page.text, len(page.cp)
+    w = np.flatnonzero(page.type != WORD)
+    s, e = page.start[w], page.end[w]
+    digit = page.kind[s] == DIGIT
+    s, e = s[digit], e[digit]
+    letter = np.isin(page.kind[np.minimum(e, n - 1)], (SMALL, CAPITAL))
+    e = e + letter
+    e = e + (page.char(e) == ord(","))
+    house = (e - s <= 7) & (page.char(e) == 32) & (page.kind[np.minimum(e + 1, n - 1)] == CAPITAL)
+    box = np.isin(page.char(s - 2), (ord("x"), ord("X"))) & np.isin(page.char(s - 4), (ord("b"), ord("B"))) & (page.char(s - 1) == 32)
+    heads, found, plain, formats, reach = [], [], [], [], 0
+    for at, boxed in zip(s[house | box].tolist(), box[house | box].tolist(), strict=True):
+        if boxed:
+            back = _BOX.search(text, max(0, at - 12), at)
+            at = back.start() if back else at
+        m = _ADDRESS_HEAD.match(text, at) if at >= reach else None
+        if not m:
+            continue
+        end, parts = m.end(), "h"
+        ends = [(end, parts)]
         for rx, sign in ((_APT, "a"), (_CITY, "c"), (_CODE, "z")):
-            if n := rx.match(text, at):
-                at, parts = n.end(), parts + sign
-                ends.append((at, parts))
-        head = m.end() - (text[m.end() - 1] == ".")
-        for k, (e, p) in enumerate(ends):
-            out.append((m.start(), head if k == 0 and len(ends) == 1 else e, p, len(ends) - 1 - k))
-    return out
+            if x := rx.match(text, end):
+                end, parts = x.end(), parts + sign
+                ends.append((end, parts))
+        reach = m.end()
+        bare = m.end() - (text[m.end() - 1] == ".")
+        for k, (stop, p) in enumerate(ends):
+            stop = bare if k == 0 and len(ends) == 1 else stop
+            t, room = text[at:stop], len(ends) - 1 - k
+            city = re.split(r",|\n", re.sub(rf"{_CODE.pattern}$", "", t) if p.endswith("z") else t)[-1].strip().lower() if "c" in p else ""
+            follows = _CITY.match(text, stop)
+            then = re.sub(r"^[,\s]+", "", follows[0]).lower() if follows else ""
+            heads.append((at, room))
+            found.append((at, stop))
+            formats.append(p + re.split(r"\s", m[0].rstrip("."))[-1].lower())
+            plain.append([len(p), room, "a" in p, "c" in p, "z" in p, city in lexica.cities, bool(then) and then in lexica.cities, bool(_CODE.match(text, stop)), bool(_APT.match(text, stop)), t[0] in "Pp", "\n" in t, t.isupper(), len(t), "box" in t.lower()])
+    return _spanned(page, "address", found, plain, 14, formats, heads)
+
+
+class Proposals:
+    """Everything proposed on the texts of one page."""
+
+    def __init__(self, texts: list[str], lexica: Lexica):
+        page = self.page = Page(texts)
+        words = self.words = Words(page, lexica)
+        seen = words.seen()
+        self.spans: dict[str, Spans] = {model: name_features(page, words, model, *found, seen) for model, found in name_proposals(page, words).items()}
+        places = number_places(page)
+        for kind in ("phone", "id"):
+            self.spans[kind] = number_spans(page, places, kind)
+        self.spans["email"] = email_spans(page)
+        self.spans["address"] = address_spans(page, lexica)
 
 
 class Context:
-    """Smoothed share of positives by context word, per kind and place, out of fold where a fold is given."""
-
-    def __init__(self) -> None:
-        self.pos: dict[tuple, list[int]] = {}
-        self.all: dict[tuple, list[int]] = {}
-
-    def add(self, key: tuple, fold: int, y: int) -> None:
-        n = self.all.get(key)
-        if n is None:
-            n = self.all[key] = [0] * FOLDS
-            self.pos[key] = [0] * FOLDS
-        n[fold] += 1
-        self.pos[key][fold] += y
-
-    def by_fold(self) -> dict[tuple, tuple]:
-        """Positives and number less those of each fold, for features of the fitted notes."""
-        out = {}
-        for k, n in self.all.items():
-            p, tp, tn = self.pos[k], sum(self.pos[k]), sum(n)
-            out[k] = tuple((tp - p[f], tn - n[f]) for f in range(FOLDS))
-        return out
-
-    def close(self) -> dict[tuple, tuple[float, float]]:
-        """Plain sums for the executors; keys seen once or twice tell nothing and go."""
-        return {k: (float(sum(self.pos[k])), float(sum(v))) for k, v in self.all.items() if sum(v) >= 3}
-
-
-def rate(pos: float, n: float, prior: float = 0.3, weight: float = 3.0) -> float:
+    """Facts seen per context key, by fold; rates are smoothed towards a prior."""
+
+    def __init__(self, keys: np.ndarray, y: np.ndarray, fold: np.ndarray):
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.n = np.stack([np.bincount(at, fold == f, len(self.keys)) for f in range(FOLDS)], axis=1)
+        self.pos = np.stack([np.bincount(at, y * (fold == f), len(self.keys)) for f in range(FOLDS)], axis=1)
+
+    def table(self) -> Hashed:
+        """Rates for the executors; keys seen once or twice tell nothing and go."""
+        n = self.n.sum(1)
+        keep = n >= 3
+        return Hashed(self.keys[keep], rate(self.pos.sum(1), n)[keep])
+
+    def without(self, keys: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """Rates for fitted notes: less what their own fold says."""
+        if not len(self.keys):
+            return np.full(keys.shape, rate(0, 0), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        own = np.broadcast_to(fold[:, None], keys.shape)
+        n, pos = self.n.sum(1)[at] - self.n[at, own], self.pos.sum(1)[at] - self.pos[at, own]
+        return np.where(self.keys[at] == keys, rate(pos, n), rate(0, 0)).astype(np.float32)
+
+
+def rate(pos, n, prior: float = 0.3, weight: float = 3.0):
     return (pos + prior * weight) / (n + weight)
 
 
-class Scorer:
-    """Features of proposals; ``table`` maps context keys to (positives, number)."""
-
-    def __init__(self, table: dict[tuple, tuple[float, float]], given: frozenset[str], lower: dict[str, int], cities: frozenset[str], surnames: frozenset[str] = frozenset()):
-        self.table, self.given, self.lower, self.cities = table, given, lower, cities
-        plain = {w for w, n in lower.items() if n >= 5}
-        never = {k[2] for k, v in table.items() if k[:2] == ("name", "t") and v[1] >= 30 and v[0] < 0.02 * v[1]}
-        self.unlikely = frozenset((plain | never) - given - surnames)
-
-    def lookup(self, key: tuple, fold: int | None) -> float:
-        got = self.table.get(key)
-        if got is None:
-            return 0.3
-        if fold is None:
-            return rate(*got)
-        return rate(*got[fold])  # while fitting: sums less the fold
-
-    def keys(self, kind: str, text: str, s: int, e: int, tokens: tuple[str, ...] = ()) -> list[tuple]:
-        b, a = before_words(text, s), after_words(text, e)
-        return [(kind, "b1", b[0]), (kind, "b2", b[1], b[0]), (kind, "b3", b[2], b[1]), (kind, "a1", a[0]), (kind, "a2", a[0], a[1]), (kind, "ba", b[0], a[0])]
-
-    def name(self, text: str, span: tuple, seen: Counter, fold: int | None = None, keys_only: bool = False) -> tuple[list[float], list[tuple]]:
-        s, e, words, left, right = span
-        low = [w.lower() for w in words]
-        model = model_of(words)
-        keys = self.keys(model, text, s, e)
-        token_keys = [("name", "t", w) for w in low]
-        own_keys = keys + token_keys if model == "name" else keys
-        if keys_only:
-            return [], own_keys
-        counts = [math.log1p(self.lower.get(w, 0)) for w in low]
-        rates = [self.lookup(k, fold) for k in token_keys]
-        prev = text[s - 1] if s else "\n"
-        nxt = text[e : e + 2]
-        inside = text[s:e]
-        beside_l = re.search(r"([^\W\d_]+)\.?[ ,^]{1,2}$", text[max(0, s - 24) : s]) if left else None
-        beside_r = re.match(r"\.?[ ,^]{1,2}([^\W\d_]+)", text[e : e + 24]) if right else None
-        wl, wr = beside_l[1].lower() if beside_l else "", beside_r[1].lower() if beside_r else ""
-        first = low[0] in self.given
-        last = low[-1] in self.given
-        x = [self.lookup(k, fold) for k in keys]
-        x += [
-            len(words), left, right, float(prev == "\n"), float(prev == " "), float(prev in "/(\"'"), float(nxt[:1] in ("'", "’")), float(nxt[:1] in ".,;"), float(nxt[:1] in "\r\n"),
-            float("^" in inside), float("," in inside), float(inside.isupper()), float(any(len(w) == 1 for w in words)), float("-" in inside or "'" in inside or "’" in inside),
-            float(first), float(last), sum(w in self.given for w in low), max(counts), min(counts), sum(counts) / len(counts), max(rates), min(rates), sum(rates) / len(rates),
-            max(len(w) for w in words), min(len(w) for w in words), float(wl in self.given), math.log1p(self.lower.get(wl, 0)), float(wl in TITLES), float(wr in self.given), math.log1p(self.lower.get(wr, 0)), float(wr in TITLES),
-            self.lookup(("name", "t", wl), fold) if wl else 0.0, self.lookup(("name", "t", wr), fold) if wr else 0.0,
-            min(9, min(seen[w] for w in low)), min(9, max(seen[w] for w in low)), float(NOT_PERSON.match(text[e : e + 14]) is not None),
-            sum(w[0].islower() for w in words) / len(words),
-        ]
-        return x, own_keys
-
-    def number(self, kind: str, text: str, s: int, e: int, fold: int | None = None, keys_only: bool = False) -> tuple[list[float], list[tuple]]:
-        t = text[s:e]
-        d = digits(t)
-        keys = self.keys(kind, text, s, e) + [(kind, "shape", shape(t))]
-        if keys_only:
-            return [], keys
-        prev = text[s - 1] if s else "\n"
-        x = [self.lookup(k, fold) for k in keys]
-        x += [len(d), len(t) - len(d), float(t[0] == "+"), float("(" in t), float("." in t), float("-" in t), float("/" in t), float(" " in t), float(d[0] == "0"), float(d[:2] in ("00", "01", "02", "03", "07")), float(d[0] == "9"), float(d[0] == "1"), float(prev == "#"), float(prev == "="), float(prev == "/"), float(len(d) == 9), float(len(d) == 10)]
-        return x, keys
-
-    def email(self, text: str, s: int, e: int, fold: int | None = None) -> tuple[list[float], list[tuple]]:
-        t = text[s:e]
-        keys = self.keys("email", text, s, e)
-        tail = re.split(r"[^a-z0-9\-]+", t.lower())[-1]
-        x = [self.lookup(k, fold) for k in keys] + [float("@" in t), float(" at " in t.lower()), float("(" in t or "[" in t), t.count("."), len(t), len(tail), float(tail.isalpha()), float(any(c.isdigit() for c in t)), t.count(" ")]
-        return x, keys
-
-    def address(self, text: str, span: tuple, fold: int | None = None) -> tuple[list[float], list[tuple]]:
-        s, e, parts, room = span
-        keys = self.keys("address", text, s, e)
-        t = text[s:e]
-        city = ""
-        if "c" in parts:
-            tail = re.sub(rf"{_CODE.pattern}$", "", t) if parts.endswith("z") else t
-            city = re.split(r",|\n", tail)[-1].strip().lower()
-        more = text[e : e + 40]
-        m = _CITY.match(more)
-        follows = re.sub(r"^[,\s]+", "", m[0]).lower() if m else ""
-        x = [self.lookup(k, fold) for k in keys]
-        x += [len(parts), room, float("a" in parts), float("c" in parts), float("z" in parts), float(city in self.cities), float(any(w in self.cities for w in (city,)) and "c" in parts), float(bool(follows) and follows in self.cities), float(bool(_CODE.match(more))), float(bool(_APT.match(more))), float(t[:1] in "Pp"), float("\n" in t), float(t.isupper()), len(t), float("box" in t.lower())]
-        return x, keys
-
-
-def proposals(text: str, scorer: Scorer, fold: int | None = None, keys_only: bool = False) -> list[tuple[str, int, int, list[float], list[tuple], tuple]]:
-    """Overlapping proposals of every kind with their features; ``keys_only`` leaves those of names and numbers out."""
-    out = []
-    spans = name_spans(text, scorer.unlikely, scorer.given)
-    if spans:
-        seen = Counter(w.lower() for w in re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]{2,})*", text) if w[0].isupper())
-        for span in spans:
-            x, keys = scorer.name(text, span, seen, fold, keys_only)
-            out.append((model_of(span[2]), span[0], span[1], x, keys, span[2]))
-    for s, e in number_spans(text):
-        for kind in ("phone", "id"):
-            x, keys = scorer.number(kind, text, s, e, fold, keys_only)
-            out.append((kind, s, e, x, keys, ()))
-    if "@" in text or " at " in text or "at)" in text or "at]" in text:
-        for m in _EMAIL.finditer(text):
-            x, keys = scorer.email(text, m.start(), m.end(), fold)
-            out.append(("email", m.start(), m.end(), x, keys, ()))
-    for span in address_spans(text):
-        x, keys = scorer.address(text, span, fold)
-        out.append(("address", span[0], span[1], x, keys, (span[2], span[3])))
-    return out
+def features(model: str, spans: Spans, rates: np.ndarray) -> np.ndarray:
+    if model in ("name", LOWER):
+        own = rates[:, 6 : 6 + MOST_WORDS]
+        rates = np.concatenate([rates[:, :6], own.max(1, keepdims=True), own.min(1, keepdims=True), own.mean(1, keepdims=True), rates[:, 6 + MOST_WORDS :]], axis=1) if len(rates) else np.zeros((0, 11), np.float32)
+    return np.concatenate([rates, spans.plain], axis=1).astype(np.float32)
 
 
 def choose(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
     """The accepted proposals that do not overlap: most certain first, the longer one among the about equally certain."""
+    starts: list[int] = []
     taken: list[tuple[str, int, int]] = []
-    for kind, s, e, p in sorted(found, key=lambda f: (-round(f[3], 1), -(f[2] - f[1]), f[1], f[0])):
-        if all(e <= a or s >= b for _, a, b in taken):
-            taken.append((kind, s, e))
-    return sorted(taken, key=lambda t: t[1])
+    for kind, s, e, _ in sorted(found, key=lambda f: (-round(f[3], 1), -(f[2] - f[1]), f[1], f[0])):
+        k = bisect.bisect_right(starts, s)
+        if (k and taken[k - 1][2] > s) or (k < len(starts) and starts[k] < e):
+            continue
+        starts.insert(k, s)
+        taken.insert(k, (kind, s, e))
+    return taken
 
 
-class Labeller:
-    """Distant labels of the proposals of one sampled note: 1, 0 or None (unknown).
+def join_names(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Neighbouring names with a blank or hyphen between them become one where it has more words than any proposal."""
+    out: list[tuple[str, int, int]] = []
+    for kind, s, e in taken:
+        if out and kind == out[-1][0] == "name" and text[out[-1][2] : s] in (" ", "-") and len(_NAME_WORD.findall(text, out[-1][1], e)) > MOST_WORDS:
+            out[-1] = (kind, out[-1][1], e)
+        else:
+            out.append((kind, s, e))
+    return out
 
-    ``strange`` tells words that are written with a capital only and stand in
-    few notes; they may be anybody's surname.
-    """
 
-    def __init__(self, given: frozenset[str], surnames: frozenset[str], cities: frozenset[str], strange):
-        self.given, self.surnames, self.cities, self.strange = given, surnames, cities, strange
+def paged(texts: list[str | None]) -> Iterator[list[int]]:
+    """Indexes of the texts that have characters, in groups of about PAGE_CHARS."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            if group and size + len(t) > PAGE_CHARS:
+                yield group
+                group, size = [], 0
+            group.append(i)
+            size += len(t)
+    if group:
+        yield group
 
-    def known(self, word: str, patient: set[str]) -> bool:
-        return word in patient or word in self.given or word in self.surnames or len(word) == 1 or self.strange(word)
 
-    def people(self, text: str, patient: set[str]) -> set[str]:
-        """The words of the note's patient and of persons named in full beside a given name."""
-        out = set(patient)
-        for _, _, words, _, _ in name_spans(text, frozenset()):
-            low = [w.lower() for w in words]
-            if len(low) == 2 and any(w in self.given for w in low) and any(self.strange(w) and w not in self.given for w in low):
-                out.update(w for w in low if w not in self.given)
+class Detector:
+    """What the executors need: lexica, context rates, one set of trees and one threshold per kind (two for names)."""
+
+    def __init__(self, lexica: Lexica, table: Hashed, trees: dict[str, boosting.Trees], thresholds: dict[str, float]):
+        self.lexica, self.table, self.trees, self.thresholds = lexica, table, trees, thresholds
+
+    def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        for group in paged(texts):
+            made = Proposals([texts[i] for i in group], self.lexica)
+            found: dict[int, list] = defaultdict(list)
+            for model, spans in made.spans.items():
+                shown = "name" if model == LOWER else model
+                if len(spans.start):
+                    rows, p = self.trees[model].reaching(features(model, spans, self.table.get(spans.keys.ravel(), rate(0, 0)).reshape(spans.keys.shape)), self.thresholds[model])
+                    for d, s, e, v in zip(spans.doc[rows].tolist(), spans.start[rows].tolist(), spans.end[rows].tolist(), p.tolist(), strict=True):
+                        found[d].append((shown, s, e, v))
+            for d, f in found.items():
+                at = int(made.page.begin[d])
+                taken = join_names(made.page.text, choose(f))
+                out[group[d]] = [(k, s - at, e - at) for k, s, e in taken]
         return out
 
-    def __call__(self, text: str, p: tuple, patient: set[str], facts: dict[str, set[str]]) -> int | None:
-        kind, s, e, _, _, extra = p
-        if kind in ("name", LOWER):
-            return self.person(text, s, e, [w.lower() for w in extra], patient)
-        t = text[s:e]
-        if kind in ("phone", "id"):
-            d = digits(t)[-10:]
-            for other in ("phone", "id"):
-                if d in facts.get(other, ()):
-                    return int(kind == other)
-            for tell, rx in TELLS.items():
-                if rx.search(text[max(0, s - 24) : s]):
-                    return int(kind == tell)
-            return None
-        if kind == "email":
-            tail = re.split(r"[^a-z0-9\-]+", t.lower())[-1]
-            return int(tail.isalpha() and len(tail) > 1)
-        parts, room = extra
-        low = re.sub(r"[\s,]+", " ", t.lower())
-        if "c" in parts:
-            city = re.sub(rf"{_CODE.pattern}$", "", t) if parts.endswith("z") else t
-            if re.split(r",|\n", city)[-1].strip().lower() not in self.cities:
-                return 0 if self.cities else None
-        if not room:
-            return 1
-        m = _CITY.match(text, e)
-        if m and re.sub(r"^[,\s]+", "", m[0]).lower() in self.cities or _CODE.match(text, e) or _APT.match(text, e):
-            return 0
-        return 1 if low else None
-
-    def person(self, text: str, s: int, e: int, words: list[str], patient: set[str]) -> int | None:
-        titled = PERSON_TELL.search(text[max(0, s - 24) : s]) is not None
-        if NOT_PERSON.match(text[e : e + 14]) and not titled:
-            return 0
-        lowered = any(w[0].islower() for w in re.findall(r"[^\W\d_]+", text[s:e]))
-        if lowered and titled and not patient:
-            return None  # a surname in lower case is no strange word
-        if lowered and len(words) == 1 and not titled:
-            return None if words[0] in patient else 0  # the patient's name or just the word, such as will
-        if not all(self.known(w, patient) for w in words):
-            return 0
-        if len(words) == 1 and not titled and words[0] not in patient:
-            # a given name alone is somebody else's word unless the patient bears it; of a strange word nothing is known
-            if words[0] in self.given and re.search(rf"(?i)(?:{re.escape(words[0])}[ ,^]+[{_UP}][^\W\d_]{{4}}|[^\W\d_]{{5}}[,^] ?{re.escape(words[0])}\b)", text[:s] + "|" + text[e:]):
-                return None  # somebody of that name is named in full elsewhere
-            return None if words[0] not in self.given and words[0] not in self.surnames else 0
-        if len(words) > 1 and not any(w in self.given or w in self.surnames or w in patient for w in words):
-            return None
-        if all(len(w) == 1 for w in words):
-            return 0
-        # longer spans of known words are the whole name; beside a word in lower case the rest may be so too
-        first = r"[^\W\d_]" if lowered else f"[{_UP}]"
-        left = re.search(rf"(?<![°%\w])(?<!\d )({first}[^\W\d_]*(?:['’\-][^\W\d_]+)*)(?:\. |[ ]|, ?| ?\^ ?)$", text[max(0, s - 30) : s])
-        if left and left[1].lower() not in TITLES and self.known(left[1].lower(), patient) and (len(left[1]) > 1 or text[s - 2 : s] == ". ") and len(words) < 3:
-            return 0
-        right = re.match(rf"(?:\. |[ ]|, ?| ?\^ ?)({first}[^\W\d_]*(?:['’\-][^\W\d_]+)*)", text[e : e + 30])
-        if right and right[1].lower() not in TITLES and len(right[1]) > 1 and self.known(right[1].lower(), patient) and len(words) < 3 and not text[e : e + 1] == ".":
-            return 0
-        return 1
-
-
-def _facts(row: dict) -> tuple[set[str], dict[str, set[str]]]:
-    words = {w.lower() for w in re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", str(row.get("name") or ""))}
-    phone, ids = digits(str(row.get("phone") or "")), {digits(str(row.get("unit_no") or "")), digits(str(row.get("ssn") or ""))}
-    return words, {"phone": {phone} - {""}, "id": ids - {""}}
 
+# ---- fitting
 
-class Detector:
-    """What the executors need: context table, lexica, one set of trees and one threshold per kind (two for names)."""
 
-    def __init__(self, scorer_parts: tuple, trees: dict[str, boosting.Trees], thresholds: dict[str, float]):
-        self.scorer_parts, self.trees, self.thresholds = scorer_parts, trees, thresholds
+@dataclass
+class Facts:
+    """What the personas say of the sampled notes."""
 
-    def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
-        scorer = getattr(self, "_scorer", None)
-        if scorer is None:
-            scorer = self._scorer = Scorer(*self.scorer_parts)
-        found: list[list] = [[] for _ in texts]
-        groups: dict[str, tuple[list, list]] = {k: ([], []) for k in MODELS}
-        for i, t in enumerate(texts):
-            if t:
-                for kind, s, e, x, _, _ in proposals(t, scorer):
-                    groups[kind][0].append((i, s, e))
-                    groups[kind][1].append(x)
-        for kind, (where, xs) in groups.items():
-            shown = "name" if kind == LOWER else kind
-            if xs:
-                p = self.trees[kind].probability(np.array(xs, np.float32))
-                for (i, s, e), v in zip(where, p, strict=True):
-                    if v >= self.thresholds[kind]:
-                        found[i].append((shown, s, e, float(v)))
-        return [choose(f) for f in found]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_scorer"}
-
-
-def fit_rows(rows: list[dict]) -> Detector:
-    """Fits on sampled notes: dicts with note and, where known, name, physician_name, phone, unit_no, ssn, address."""
-    rows = sorted(rows, key=lambda r: (r["note"], str(r.get("name"))))
-    lower: Counter = Counter()
-    given_counts: Counter = Counter()
-    cities: set[str] = set()
-    doctor: Counter = Counter()
-    capital: Counter = Counter()
-    places: set[str] = set()
-    family: set[str] = set()
+    words: list[set[str]]
+    phone: list[set[str]]
+    ids: list[set[str]]
+    email: list[set[str]]
+    address: list[set[str]]
+
+    @classmethod
+    def of(cls, rows: list[dict]) -> Facts:
+        text = lambda r, c: str(r.get(c) or "")
+        number = lambda r, *cs: {digits(text(r, c))[-10:] for c in cs} - {""}
+        names = lambda r: {w.lower() for w in _NAME_WORD.findall(text(r, "name"))}
+        return cls([names(r) for r in rows], [number(r, "phone") for r in rows], [number(r, "unit_no", "ssn") for r in rows], [{tidy(text(r, "email"))} - {""} for r in rows], [{tidy(text(r, "address"))} - {""} for r in rows])
+
+
+def lexica_of_rows(rows: list[dict]) -> Lexica:
+    """The lexica of sampled rows alone, where no corpus is at hand."""
+    given, cities = set(), set()
     for r in rows:
-        plain = _EMAIL.sub(" ", r["note"])
-        lower.update(set(_LOWER.findall(_HEADER.sub(" ", plain))))
-        capital.update({w.lower() for w in re.findall(rf"[{_UP}][^\W\d_]*(?:['’\-][^\W\d_]{{2,}})*", plain)})
         for c in ("name", "physician_name"):
             w = str(r.get(c) or "").split()
             if len(w) > 1:
-                given_counts[w[0].lower()] += 1
-                family.update(x.lower() for x in w[1:] if len(x) > 1)
+                given.add(w[0].lower())
         a = re.split(r",\s*|\n", str(r.get("address") or ""))
         if len(a) > 1:
             cities.add(a[1].strip().lower())
-            places.update(re.findall(r"[^\W\d_]+", " ".join(a).lower()))
-        for m in re.finditer(rf"\bDr\.? (?:[{_UP}]\. )?([{_UP}][^\W\d_]+(?:['’\-][^\W\d_]+)*)", r["note"]):
-            doctor[m[1].lower()] += 1
-        for m in re.finditer(rf"([{_UP}][^\W\d_]+) ([{_UP}][^\W\d_]+(?:['’\-][^\W\d_]+)*), MD\b", r["note"]):
-            doctor[m[2].lower()] += 1
-    given = frozenset(given_counts)
-    surnames = frozenset(w for w, n in doctor.items() if n >= 3) - given
-    protected = (family | surnames) - given
-    few = max(2, 0.012 * len(rows))
-    strange = lambda w: len(w) > 4 and not lower.get(w) and 0 < capital.get(w, 0) <= few and w not in places
-    label = Labeller(given, surnames, frozenset(cities), strange)
-    context = Context()
-    scorer = Scorer({}, given, dict(lower), frozenset(cities), protected)
-    kept: list[tuple[int, str, tuple, int]] = []
-    for i, r in enumerate(rows):
-        patient, facts = _facts(r)
-        if not any(w in r["note"].lower() for w in patient - given):
-            patient = set()  # the persona is not the person of this note
-        people = label.people(r["note"], patient) if patient else set()
-        fold = i % FOLDS
-        for p in proposals(r["note"], scorer, keys_only=True):
-            y = label(r["note"], p, people, facts)
-            if y is not None and (p[0] not in ("name", LOWER) or patient or y == 0):
-                kept.append((i, p[0], p, y))
-                for k in p[4]:
-                    context.add(k, fold, y)
-    scorer.table = context.by_fold()
-    parts: dict[str, list] = {k: [] for k in MODELS}
-    for i, kind, p, y in kept:
-        parts[kind].append((i, p, y))
+    given = word_hashes(given)
+    count: Counter = Counter()
+    for group in paged([r["note"] for r in rows]):
+        count.update(small_words(Page([rows[i]["note"] for i in group]), given)[1].tolist())
+    hashes = sorted(h for h, n in count.items() if n >= max(2, SMALL_SHARE * len(rows)))
+    return Lexica(given, frozenset(cities), np.array(hashes, np.uint64), np.array([count[h] / max(1, len(rows)) for h in hashes]))
+
+
+def _pairs(docs, hashes) -> np.ndarray:
+    return mix(np.asarray(docs, np.int64), np.asarray(hashes, np.uint64))
+
+
+class NameLabels:
+    """Labels of name proposals from facts: the personas of the sampled notes, learnt cues and words that are written with a capital only."""
+
+    def __init__(self, rows: list[dict], facts: Facts, pages: list[tuple[int, Words]], lexica: Lexica):
+        present = [bool(ws) and any(w in r["note"].lower() for w in ws) for r, ws in zip(rows, facts.words, strict=True)]
+        self.known_note = np.array(present, bool)
+        own_d, own_w, family, places = [], [], set(), set(lexica.cities)
+        for i, (r, ws) in enumerate(zip(rows, facts.words, strict=True)):
+            doctor = {w.lower() for w in _NAME_WORD.findall(str(r.get("physician_name") or ""))}
+            for side in (_NAME_WORD.findall(str(r.get("name") or "")), _NAME_WORD.findall(str(r.get("physician_name") or ""))):
+                family.update(w.lower() for w in side[1:] if len(w) > 1)
+            places.update(w.lower() for w in _NAME_WORD.findall(str(r.get("address") or "")))
+            if present[i]:
+                for w in ws | doctor:
+                    own_d.append(i)
+                    own_w.append(w)
+        hashed = {w: h for w in set(own_w) for h in word_hashes([w])[:1]}
+        at = [k for k, w in enumerate(own_w) if w in hashed]
+        self.own = np.unique(_pairs([own_d[k] for k in at], [hashed[own_w[k]] for k in at])) if at else np.zeros(0, np.uint64)
+        self.surname = np.setdiff1d(word_hashes(family), lexica.given)
+        # strange words: never in small letters, in few notes
+        pairs = [np.unique(np.stack([w.doc[w.capital].astype(np.uint64), w.low[w.capital]], axis=1), axis=0)[:, 1] for _, w in pages if w.capital.any()]
+        words, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.uint64), np.zeros(0))
+        self.capital_words = np.setdiff1d(words, word_hashes(w for p in places for w in p.split()))
+        self.strange_words = np.intersect1d(self.capital_words, words[n <= max(2, 0.012 * len(rows))])
+        self._contexts(pages)
+
+    def strange(self, w: Words, often: bool = False) -> np.ndarray:
+        """Words never in small letters; of those in few notes nothing else is known, those ``often`` seen are as good behind a cue."""
+        return (w.size > 4) & (w.counts == 0) & member(self.capital_words if often else self.strange_words, w.low)
+
+    def _contexts(self, pages: list[tuple[int, Words]]) -> None:
+        """Cues that names stand behind, and what never follows a name of the facts."""
+        before, behind, fact, likely = [], [], [], []
+        for first, w in pages:
+            known = member(self.own, _pairs(w.doc + first, w.low))
+            left = np.concatenate([[False], w.joined[:-1] & w.capital[:-1] & ~w.title[:-1]]) if len(w.token) else np.zeros(0, bool)
+            right = w.joined & np.concatenate([w.capital[1:], [False]]) if len(w.token) else np.zeros(0, bool)
+            here = w.capital & w.valid & ~w.title & self.known_note[w.doc + first]
+            begun = known | np.concatenate([(w.joined[:-1] & known[1:]), [False]]) if len(w.token) else known
+            likely = known | w.given | member(self.surname, w.low) | self.strange(w, often=True)
+            likely |= (w.size == 1) & np.concatenate([w.joined[:-1] & likely[1:], [False]]) if len(w.token) else likely
+            before.append((w.cue_keys[here & ~left], begun[here & ~left], likely[here & ~left]))
+            behind.append((w.after_keys(w.token, w.end, w.doc)[here & ~right], known[here & ~right]))
+        fold = lambda parts: [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
+        keys, fact, likely = fold(before)
+        keys, at = np.unique(keys, return_inverse=True)
+        n, k, m = np.bincount(at, minlength=len(keys)), np.bincount(at, fact, len(keys)), np.bincount(at, likely, len(keys))
+        self.cues = keys[(n >= SEEN) & (k >= CUE_FACTS * n) & (m >= CUE * n)]
+        keys, fact = fold(behind)[:2]
+        keys, at = np.unique(keys, return_inverse=True)
+        n, k = np.bincount(at, minlength=len(keys)), np.bincount(at, fact, len(keys))
+        self.not_person = keys[(n >= SEEN) & (k <= NEVER * n)]
+
+    def __call__(self, first: int, w: Words, i: np.ndarray, j: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """1, 0 or -1 (unknown) for the proposals of a page whose first note is number ``first``."""
+        doc = w.doc + first
+        strange, pair = self.strange(w), _pairs(doc, w.low)
+        own, surname = member(self.own, pair), member(self.surname, w.low)
+        # persons named in full beside a given name belong to the note
+        a, b = (w.given[:-1] & strange[1:] & ~w.given[1:], w.given[1:] & strange[:-1] & ~w.given[:-1]) if len(w.token) else (np.zeros(0, bool),) * 2
+        pairs = w.joined[:-1] & w.capital[:-1] & w.capital[1:] if len(w.token) else np.zeros(0, bool)
+        here = self.known_note[doc] if len(doc) else np.zeros(0, bool)
+        named = np.unique(np.concatenate([pair[1:][pairs & a], pair[:-1][pairs & b]])) if len(w.token) else np.zeros(0, np.uint64)
+        own = (own | member(named, pair)) & here
+        full = np.unique(np.concatenate([pair[:-1][pairs & w.given[:-1] & (w.size[1:] >= 5)], pair[1:][pairs & w.given[1:] & (w.size[:-1] >= 5)]])) if len(w.token) else np.zeros(0, np.uint64)
+        in_full = member(full, pair)
+        known = own | w.given | surname | (w.size == 1) | strange
+        behind = member(self.cues, w.cue_keys)
+        after = np.concatenate([[False], (w.joined & (w.given | (w.size == 1)) & behind)[:-1]]) if len(w.token) else behind
+        vouched = (behind | after) & self.strange(w, often=True)
+        known |= vouched
+        running = lambda x: np.concatenate([[0], np.cumsum(x)])
+        count = lambda x: running(x)[j + 1] - running(x)[i]
+        n = j - i + 1
+        cue, lowered = behind[i], count(w.capital) < n
+        one, note = n == 1, self.known_note[doc[i]]
+        li, ri = np.maximum(i - 1, 0), np.minimum(j + 1, len(w.token) - 1)
+        left = (i > 0) & w.joined[li] & (lowered | w.capital[li]) & ~w.title[li] & known[li] & ((w.size[li] > 1) | (w.page.char(w.end[li]) == ord("."))) & (n < 3)
+        right = w.joined[j] & (lowered | w.capital[ri]) & ~w.title[ri] & known[ri] & (w.size[ri] > 1) & (n < 3) & (w.page.char(end) != ord("."))
+        again = lambda k: (w.low[k] != w.low[i]) & (w.low[k] != w.low[j])
+        # a list of names: behind two words a comma ends the name, and before a name it belongs to one word only
+        second = np.concatenate([[False], (w.joined & w.capital & ~w.comma)[:-1]])[li] if len(w.token) else left
+        left, right = left & again(li) & ~(w.comma[li] & second), right & again(ri) & ~(w.comma[j] & (n > 1))
+        rules = [
+            ((n > 1) & repeats(w, i, j), 0),
+            (member(self.not_person, w.after_keys(w.token[j], end, w.doc[i])) & ~cue & ~own[j], 0),
+            (w.late_comma(i, j), 0),
+            (lowered & cue & ~note, -1),
+            (lowered & one & ~cue & own[i], -1),
+            (lowered & one & ~cue, 0),
+            (count(known) < n, 0),
+            # a given name alone is somebody else's word unless the patient bears it; of a strange word nothing is known
+            (one & ~cue & ~own[i] & w.given[i] & in_full[i], -1),
+            (one & ~cue & ~own[i] & ~w.given[i] & ~surname[i], -1),
+            (one & ~cue & ~own[i], 0),
+            ((n > 1) & (count(w.given | surname | own | vouched) == 0), -1),
+            (count(w.size == 1) == n, 0),
+            (left | right, 0),  # longer spans of known words are the whole name
+        ]
+        y = np.ones(len(i), np.int64)
+        open_ = np.ones(len(i), bool)
+        for condition, value in rules:
+            y[open_ & condition] = value
+            open_ &= ~condition
+        y[(y == 1) & ~note] = -1
+        return y
+
+
+
+
+def never(keys: np.ndarray, matched: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Proposals with a context that has hardly ever gone with a fact."""
+    out = np.zeros(len(matched), bool)
+    for c in range(3):
+        distinct, at = np.unique(keys[:, c], return_inverse=True)
+        n, k = np.bincount(at, among, len(distinct)), np.bincount(at, matched & among, len(distinct))
+        out |= ((n >= SEEN) & (k <= NEVER * n))[at]
+    return out
+
+
+def fact_labels(kind: str, rows: list[dict], facts: Facts, doc: np.ndarray, spans: list[tuple[str, object]], keys: np.ndarray) -> np.ndarray:
+    """1, 0 or -1 for proposals of numbers, mail and addresses (text and, for addresses, head and room)."""
+    y = np.full(len(doc), -1)
+    if kind == "address":
+        heads: dict[tuple, list[int]] = defaultdict(list)
+        for k, (_, head) in enumerate(spans):
+            heads[head].append(k)
+        for ks in heads.values():
+            full = max(ks, key=lambda k: len(spans[k][0]))
+            for a in facts.address[doc[full]]:
+                fits = [k for k in ks if a.startswith(tidy(spans[k][0]))]
+                best = max(fits, key=lambda k: len(spans[k][0]), default=None)
+                if best is not None and (best == full or tidy(spans[best][0]) == a):
+                    for k in ks:
+                        y[k] = int(k == best)
+    else:
+        mine = {"phone": facts.phone, "id": facts.ids, "email": facts.email}[kind]
+        other = {"phone": facts.ids, "id": facts.phone, "email": None}[kind]
+        for k, (d, (t, _)) in enumerate(zip(doc.tolist(), spans, strict=True)):
+            own = tidy(re.sub(rf"(?i){_DOT}", ".", re.sub(rf"(?i){_AT}", "@", t))) if kind == "email" else digits(t)[-10:]
+            if own in mine[d]:
+                y[k] = 1
+            elif other is not None and own in other[d]:
+                y[k] = 0
+    known = np.array([bool(r.get("name")) for r in rows], bool)
+    among = known[doc] if len(doc) else np.zeros(0, bool)
+    y[(y < 0) & never(keys, y == 1, among)] = 0
+    return y
+
+
+def fit_rows(rows: list[dict], lexica: Lexica | None = None) -> Detector:
+    """Fits on sampled notes: dicts with note and, where known, name, physician_name, phone, unit_no, ssn, email, address."""
+    rows = sorted(rows, key=lambda r: (r["note"], str(r.get("name"))))
+    lexica = lexica or lexica_of_rows(rows)
+    facts = Facts.of(rows)
+    groups = list(paged([r["note"] for r in rows]))
+    texts = [[rows[i]["note"] for i in g] for g in groups]
+    label = NameLabels(rows, facts, [(g[0], Words(Page(t), lexica)) for g, t in zip(groups, texts, strict=True)], lexica)
+    lexica = Lexica(lexica.given, lexica.cities, lexica.small, lexica.share, label.cues)
+    parts: dict[str, list[tuple]] = {m: [] for m in MODELS}
+    for g, t in zip(groups, texts, strict=True):
+        made = Proposals(t, lexica)
+        for model, spans in made.spans.items():
+            if not len(spans.start):
+                continue
+            if model in ("name", LOWER):
+                y = label(g[0], made.words, *spans.extra, spans.end)
+                keep = y >= 0
+                parts[model].append((spans.doc[keep] + g[0], Spans(spans.start[keep], spans.end[keep], spans.doc[keep], spans.keys[keep], spans.plain[keep], spans.extra[1][keep] - spans.extra[0][keep] + 1), y[keep]))
+            else:
+                shown = [(made.page.text[s:e], spans.extra and (g[0], spans.extra[k][0])) for k, (s, e) in enumerate(zip(spans.start.tolist(), spans.end.tolist(), strict=True))]
+                parts[model].append((spans.doc + g[0], spans, shown))
+    contexts, labelled = [], {}
+    for model, found in parts.items():
+        if not found:
+            continue
+        doc = np.concatenate([f[0] for f in found])
+        keys, plain = np.concatenate([f[1].keys for f in found]), np.concatenate([f[1].plain for f in found])
+        if model in ("name", LOWER):
+            y, size = np.concatenate([f[2] for f in found]), np.concatenate([f[1].extra for f in found])
+        else:
+            y, size = fact_labels(model, rows, facts, doc, [x for f in found for x in f[2]], keys), None
+        keep = y >= 0
+        doc, keys, plain, y = doc[keep], keys[keep], plain[keep], y[keep]
+        labelled[model] = (doc, keys, plain, y)
+        fold = doc % FOLDS
+        for c in range(keys.shape[1]):
+            if size is None or c < 6:
+                contexts.append((keys[:, c], y, fold))
+            elif model == "name" and c < 6 + MOST_WORDS:
+                own = c - 6 < size[keep]
+                contexts.append((keys[own, c], y[own], fold[own]))
+    context = Context(*(np.concatenate(x) for x in zip(*contexts, strict=True))) if contexts else Context(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     trees, thresholds = {}, {}
-    for kind, items in parts.items():
-        if len(items) > MOST_ROWS:
+    for model in MODELS:
+        doc, keys, plain, y = labelled.get(model, (np.zeros(0, np.int64),) * 4)
+        if not len(y):
+            thresholds[model], trees[model] = 0.5, boosting.nothing()
+            continue
+        if len(y) > MOST_ROWS:
             # whole notes by a hash that knows nothing of the fold, so that every fold keeps its share
-            drawn = {i for i in {x[0] for x in items} if crc32(rows[i]["note"].encode("utf-8", "replace")) * len(items) < MOST_ROWS * 2**32}
-            items = [x for x in items if x[0] in drawn]
-        xs, ys, folds = [], [], []
-        last, seen = -1, Counter()
-        for i, p, y in items:
-            fold, text = i % FOLDS, rows[i]["note"]
-            if kind in ("name", LOWER):
-                if i != last:
-                    last, seen = i, Counter(w.lower() for w in re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]{2,})*", text) if w[0].isupper())
-                span = next(s for s in name_spans_cached(text, scorer) if s[0] == p[1] and s[1] == p[2])
-                x = scorer.name(text, span, seen, fold)[0]
-            elif kind == "email":
-                x = scorer.email(text, p[1], p[2], fold)[0]
-            elif kind == "address":
-                x = scorer.address(text, (p[1], p[2], *p[5]), fold)[0]
-            else:
-                x = scorer.number(kind, text, p[1], p[2], fold)[0]
-            xs.append(x)
-            ys.append(y)
-            folds.append(fold)
-        x, y, f = np.array(xs, np.float32), np.array(ys), np.array(folds)
-        if len(y):
-            held = f == 0
-            if held.any() and not held.all():
-                trial = boosting.fit(x[~held], y[~held])
-                thresholds[kind] = boosting.calibrated_threshold(trial.probability(x[held]), y[held], slack=0.0, beta=BETA)
-            else:
-                warnings.warn(f"too few notes with a labelled {kind} to hold any out: threshold 0.5", stacklevel=2)
-                thresholds[kind] = 0.5
-            trees[kind] = boosting.fit(x, y)
+            drawn = {d for d in set(doc.tolist()) if crc32(rows[d]["note"].encode("utf-8", "replace")) * len(y) < MOST_ROWS * 2**32}
+            own = np.isin(doc, list(drawn))
+            doc, keys, plain, y = doc[own], keys[own], plain[own], y[own]
+        x = features(model, Spans(doc, doc, doc, keys, plain), context.without(keys, doc % FOLDS))
+        held = doc % FOLDS == 0
+        if held.any() and not held.all():
+            # some rows again as if nothing around them had been seen before, for notes with other labels
+            blind = ~held & (doc % MASKED == 1)
+            unseen = x[blind].copy()
+            unseen[:, :6] = rate(0, 0)
+            trees[model] = boosting.fit(np.concatenate([x[~held], unseen]), np.concatenate([y[~held], y[blind]]))
+            thresholds[model] = boosting.calibrated_threshold(trees[model].probability(x[held]), y[held], slack=0.0, beta=BETA)
         else:
-            thresholds[kind], trees[kind] = 0.5, boosting.Trees(-20.0, [], np.zeros((0, 15), np.int64), np.zeros((0, 15), np.int64), np.zeros((0, 16)))
-    common = {w: n for w, n in lower.items() if n >= 2}
-    return Detector((context.close(), given, common, frozenset(cities), protected), trees, thresholds)
-
-
-_SPAN_CACHE: dict[str, list] = {}
-
-
-def name_spans_cached(text: str, scorer: Scorer) -> list:
-    if text not in _SPAN_CACHE:
-        _SPAN_CACHE.clear()
-        _SPAN_CACHE[text] = name_spans(text, scorer.unlikely, scorer.given)
-    return _SPAN_CACHE[text]
+            warnings.warn(f"too few notes with a labelled {model} to hold any out: threshold 0.5", stacklevel=2)
+            trees[model], thresholds[model] = boosting.fit(x, y), 0.5
+    return Detector(lexica, context.table(), trees, thresholds)
+
+
+# ---- Spark
+
+
+def corpus_lexica(notes: DataFrame, personas: DataFrame | None, note: str = "note") -> Lexica:
+    """Given names and cities of all personas, and the share of all notes in which a word stands in small letters."""
+    given, cities = np.zeros(0, np.uint64), frozenset()
+    if personas is not None:
+        people = personas.filter(~F.coalesce(F.col("random_name"), F.lit(False)))
+        names = F.array(*(F.when(F.size(F.split(F.trim(c), r"\s+")) > 1, F.lower(F.split(F.trim(c), r"\s+")[0])) for c in ("name", "physician_name")))
+        place = F.lower(F.trim(F.get(F.split("address", r",\s*|\n"), F.lit(1))))
+        tagged = people.select(F.explode(F.concat(F.transform(names, lambda w: F.struct(F.lit("n").alias("kind"), w.alias("word"))), F.array(F.struct(F.lit("c").alias("kind"), place.alias("word"))))).alias("x"))
+        counted = tagged.select("x.*").filter("word IS NOT NULL AND word <> ''").groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"))
+        least = people.count() * LEXICON_SHARE
+        found = counted.filter(F.col("n") >= least).collect()  # a share of the rows each: at most 3 / LEXICON_SHARE
+        given, cities = word_hashes(r.word for r in found if r.kind == "n"), frozenset(r.word for r in found if r.kind == "c")
+    spark = ship(notes.sparkSession)
+    known = spark.sparkContext.broadcast(given)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for group in paged(texts):
+                hashes, n = np.unique(small_words(Page([texts[i] for i in group]), known.value)[1], return_counts=True)
+                for h, k in zip(hashes.astype(np.int64).tolist(), n.tolist(), strict=True):
+                    total[h] = total.get(h, 0) + k
+            if len(total) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["word", "n"])
+                total = {}
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["word", "n"])
+
+    texts = notes.filter(F.length(note) > 0).select(note)
+    rows = texts.count()
+    words = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= rows * SMALL_SHARE)
+    found = sorted((int(np.int64(r.word).astype(np.uint64)), r.n) for r in words.collect())  # a share of the notes each: at most words a note / SMALL_SHARE
+    return Lexica(given, cities, np.array([h for h, _ in found], np.uint64), np.array([n / max(1, rows) for _, n in found]))
 
 
 def sample_rows(notes: DataFrame, personas: DataFrame | None, note: str = "note", subject: str = "subject_id", most: int = SAMPLE_NOTES) -> list[dict]:
     """At most ``most`` identified notes of moderate length with what the personas say of their subjects."""
-    tidy = lambda c: F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{Nd}]", "")
-    base = notes.filter(F.col(note).isNotNull() & (F.length(note) > 20) & (F.length(note) <= SAMPLE_CHARS) & ~F.contains(F.col(note), F.lit("___"))).select(F.col(note).alias("note"), tidy(subject).alias("who"))
-    # one hash per text: the same notes on every run, whatever the partitions
-    picked = base.select("note", "who", F.xxhash64("note").alias("h")).orderBy("h", "note").limit(2 * most).dropDuplicates(["note"])
-    fields = ("name", "physician_name", "phone", "unit_no", "ssn", "address")
+    tidied = lambda c: F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{Nd}]", "")
+    base = notes.filter(F.col(note).isNotNull() & (F.length(note) > 20) & (F.length(note) <= SAMPLE_CHARS) & ~F.contains(F.col(note), F.lit("___"))).select(F.col(note).alias("note"), tidied(subject).alias("who"), F.xxhash64(note).alias("h"))
+    # one hash per text: the same notes on every run; those under a cut that leaves about twice as many as are asked for
+    texts = base.agg(F.approx_count_distinct("h", 0.02).alias("n")).first().n or 0
+    cut = min(2**63 - 1, int(2.2 * most / max(1, texts) * 2**64) - 2**63)
+    picked = stable(base.filter(F.col("h") <= F.lit(cut).cast("long")).groupBy("h", "note").agg(F.min("who").alias("who")))
+    fields = ("name", "physician_name", "phone", "unit_no", "ssn", "email", "address")
     if personas is None:
         return [{"note": r.note} for r in picked.orderBy("h", "note").limit(most).collect()]
-    known = personas.filter(F.col("name").isNotNull() & ~F.coalesce(F.col("random_name"), F.lit(False))).select(tidy(subject).alias("who"), F.struct(*fields).alias("p"))
+    known = personas.filter(F.col("name").isNotNull() & ~F.coalesce(F.col("random_name"), F.lit(False))).select(tidied(subject).alias("who"), F.struct(*fields).alias("p"))
     asked = picked.select("who").distinct()
-    # at most 2 x ``most`` subjects are asked for, so this side is bounded
+    # at most one subject per picked note is asked for, so this side is bounded
     known = known.join(F.broadcast(asked), "who", "left_semi").groupBy("who").agg(F.min("p").alias("p"))
-    rows = picked.join(known, "who", "left").orderBy(F.col("p").isNull(), "h", "note").limit(most).collect()
+    rows = picked.join(F.broadcast(known), "who", "left").orderBy(F.col("p").isNull(), "h", "note").limit(most).collect()
     return [{"note": r.note} | (r.p.asDict() if r.p is not None else {}) for r in rows]
 
 
 def fit_detector(notes: DataFrame, personas: DataFrame | None, note: str = "note", subject: str = "subject_id", most: int = SAMPLE_NOTES) -> Detector:
-    return fit_rows(sample_rows(notes, personas, note, subject, most))
+    return fit_rows(sample_rows(notes, personas, note, subject, most), corpus_lexica(notes, personas, note))
 
 
 def _mapped(df: DataFrame, note: str, keep: list[str], detector: Detector, schema: str, make) -> DataFrame:
     spark = ship(df.sparkSession)
-    shared = spark.sparkContext.broadcast(detector)  # bounded by the sample it was fitted on
+    shared = spark.sparkContext.broadcast(detector)  # bounded by the sample it was fitted on and the lexica's shares
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
