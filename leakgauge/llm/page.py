@@ -70,9 +70,9 @@ ANY_NUMBER = mix("number")[0]
 
 
 class Page:
-    """Tokens of ``texts``: start, end, type, doc, raw and low (hashes as written and in small letters)."""
+    """Tokens of ``texts``: start, end, type, doc, raw and low (hashes as written, if asked for, and in small letters)."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], raw: bool = True):
         kind, low = _tables()
         self.text = "\0".join(texts) + "\0"
         self.sizes = np.array([len(t) for t in texts], np.int64)
@@ -105,8 +105,10 @@ class Page:
             np.cumsum(chars * power, out=sums[1:])
             return mix((sums[self.end] - sums[self.start]) * inverse[self.start], size)
 
-        self.low, self.raw = hashes(small), hashes(cp)
-        self.low[self.type == NUMBER] = self.raw[self.type == NUMBER] = ANY_NUMBER
+        number = self.type == NUMBER
+        self.low, self.raw = hashes(small), hashes(cp) if raw else None
+        for h in (self.low, self.raw)[: 1 + raw]:
+            h[number] = ANY_NUMBER
 
     def _joiners(self, letter: np.ndarray) -> np.ndarray:
         """Apostrophes and hyphens inside a word: not before a possessive s, nor before a small letter in a word with a capital."""
@@ -135,6 +137,18 @@ class Page:
         return np.where((token == safe) & (self.doc[safe] == doc), hashes[safe], EDGE)
 
 
+@functools.cache
+def _signs(signs: str) -> np.ndarray:
+    table = np.zeros(_TABLE, bool)
+    table[[ord(c) for c in signs]] = True
+    return table
+
+
+def among(chars: np.ndarray, signs: str) -> np.ndarray:
+    """Whether code points are one of ``signs``."""
+    return _signs(signs).take(chars, mode="clip")
+
+
 def word_hashes(words) -> np.ndarray:
     """Sorted hashes of words in small letters, as a ``Page`` would hash them."""
     words = sorted(words)

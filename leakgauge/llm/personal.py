@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakgauge.llm import boosting
-from leakgauge.llm.page import CAPITAL, DIGIT, LINE, SMALL, WORD, Hashed, Page, member, mix, word_hashes
+from leakgauge.llm.page import CAPITAL, DIGIT, SMALL, SPACE, WORD, Hashed, Page, among, member, mix, word_hashes
 from leakgauge.session import ship, stable
 
 KINDS = ("name", "email", "phone", "id", "address")
@@ -142,10 +142,11 @@ def small_words(page: Page, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near[1:] |= named[:-1] & beside
     near[:-1] |= named[1:] & beside
     before, behind, then = page.char(s - 1), page.char(e), page.char(e + 1)
-    joined = np.isin(before, [ord(c) for c in "@._+-"]) | np.isin(behind, [ord(c) for c in "@_"]) | ((behind == ord(".")) & (page.kind[np.minimum(e + 1, len(page.kind) - 1)] == SMALL) & (then > 0))
+    joined = among(before, "@._+-") | among(behind, "@_") | ((behind == ord(".")) & (page.kind[np.minimum(e + 1, len(page.kind) - 1)] == SMALL) & (then > 0))
     keep = plain & ~near & ~joined
-    pairs = np.unique(np.stack([page.doc[w][keep].astype(np.uint64), h[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.uint64)
-    return pairs[:, 0].astype(np.int64), pairs[:, 1]
+    doc, h = page.doc[w][keep], h[keep]
+    _, first = np.unique(mix(doc, h), return_index=True)
+    return doc[first], h[first]
 
 
 class Words:
@@ -160,9 +161,9 @@ class Words:
         before, behind = page.char(s - 1), page.char(e)
         inside = lambda at: kind[np.clip(at, 0, len(kind) - 1)]
         first = s == page.begin[self.doc]
-        bad = np.isin(before, [ord(c) for c in "'’@.°%"]) | np.isin(inside(s - 1), (DIGIT, LINE))
+        bad = among(before, "'’@.°%") | (inside(s - 1) >= DIGIT) & (inside(s - 1) != SPACE)
         bad |= (before == 32) & (inside(s - 2) == DIGIT) & (s - 2 >= page.begin[self.doc])
-        self.valid = (first | ~bad) & (behind != ord("@")) & ~np.isin(inside(e), (DIGIT, LINE))
+        self.valid = (first | ~bad) & (behind != ord("@")) & ((inside(e) < DIGIT) | (inside(e) == SPACE))
         self.capital = kind[s] == CAPITAL
         self.size = e - s
         self.title = _IS_TITLE.has(self.low)
@@ -241,7 +242,7 @@ def name_proposals(page: Page, words: Words) -> dict[str, tuple[np.ndarray, np.n
         lone = words.size[j] == 1
         end = words.end[j] + lone
         keep = ~lone | ((size > 1) & (page.char(words.end[j]) == ord(".")))
-        keep &= ~np.isin(page.char(words.start[i] - 1), [ord(c) for c in "[_*"]) & ~np.isin(page.char(end), [ord(c) for c in "]_"])
+        keep &= ~among(page.char(words.start[i] - 1), "[_*") & ~among(page.char(end), "]_")
         cap = caps[i]
         for model, part in (("name", keep & cap), (LOWER, keep & ~cap)):
             out[model].append((i[part], j[part], end[part]))
@@ -270,12 +271,11 @@ def name_features(page: Page, words: Words, model: str, i: np.ndarray, j: np.nda
     beside = lambda x, ok, k: np.where(ok, x[k], 0).astype(np.float32)
     prev, nxt = page.char(s - 1), page.char(end)
     begins = s == page.begin[doc]
-    sign = lambda c, chars: np.isin(c, [ord(x) for x in chars])
     inner = [page.char(words.end[np.minimum(i + k, j)]) for k in range(MOST_WORDS - 1)]
-    between = lambda chars: np.any([sign(c, chars) & (i + k < j) for k, c in enumerate(inner)], axis=0)
-    hat = between("^") | np.any([sign(page.char(words.end[np.minimum(i + k, j)] + 1), "^") & (i + k < j) for k in range(MOST_WORDS - 1)], axis=0)
+    between = lambda chars: np.any([among(c, chars) & (i + k < j) for k, c in enumerate(inner)], axis=0)
+    hat = between("^") | np.any([among(page.char(words.end[np.minimum(i + k, j)] + 1), "^") & (i + k < j) for k in range(MOST_WORDS - 1)], axis=0)
     plain = [
-        n, left_ok & words.capital[li], right_ok & words.capital[ri], begins | sign(prev, "\n"), sign(prev, " "), sign(prev, "/(\"'"), sign(nxt, "'’"), sign(nxt, ".,;"), sign(nxt, "\r\n"),
+        n, left_ok & words.capital[li], right_ok & words.capital[ri], begins | among(prev, "\n"), among(prev, " "), among(prev, "/(\"'"), among(nxt, "'’"), among(nxt, ".,;"), among(nxt, "\r\n"),
         hat, between(","), spread(words.upper, np.all), spread(words.size, np.min) == 1, spread(words.parted, np.any),
         words.given[i], words.given[j], total(words.given), spread(words.counts, np.max), spread(words.counts, np.min), total(words.counts) / n,
         spread(words.size, np.max), spread(words.size, np.min), beside(words.given, left_ok, li), beside(words.counts, left_ok, li), beside(words.title, left_ok, li), beside(words.size, left_ok, li),
@@ -334,7 +334,7 @@ def number_spans(page: Page, places: list[tuple[int, int]], kind: str) -> Spans:
 def email_spans(page: Page) -> Spans:
     cp, text = page.cp, page.text
     a = np.flatnonzero((cp[:-1] == ord("a")) | (cp[:-1] == ord("A")))
-    a = a[np.isin(cp[a + 1], (ord("t"), ord("T"))) & np.isin(page.char(a - 1), [ord(c) for c in " ([" ]) & np.isin(page.char(a + 2), [ord(c) for c in " )]"])] - 1
+    a = a[among(cp[a + 1], "tT") & among(page.char(a - 1), " ([") & among(page.char(a + 2), " )]")] - 1
     anchors = np.sort(np.concatenate([np.flatnonzero(cp == ord("@")), a]))
     found, plain, formats, reach = [], [], [], 0
     for at in anchors.tolist():
@@ -366,11 +366,11 @@ def address_spans(page: Page, lexica: Lexica) -> Spans:
     s, e = page.start[w], page.end[w]
     digit = page.kind[s] == DIGIT
     s, e = s[digit], e[digit]
-    letter = np.isin(page.kind[np.minimum(e, n - 1)], (SMALL, CAPITAL))
+    letter = (page.kind[np.minimum(e, n - 1)] == SMALL) | (page.kind[np.minimum(e, n - 1)] == CAPITAL)
     e = e + letter
     e = e + (page.char(e) == ord(","))
     house = (e - s <= 7) & (page.char(e) == 32) & (page.kind[np.minimum(e + 1, n - 1)] == CAPITAL)
-    box = np.isin(page.char(s - 2), (ord("x"), ord("X"))) & np.isin(page.char(s - 4), (ord("b"), ord("B"))) & (page.char(s - 1) == 32)
+    box = among(page.char(s - 2), "xX") & among(page.char(s - 4), "bB") & (page.char(s - 1) == 32)
     heads, found, plain, formats, reach = [], [], [], [], 0
     for at, boxed in zip(s[house | box].tolist(), box[house | box].tolist(), strict=True):
         if boxed:
@@ -547,7 +547,7 @@ def lexica_of_rows(rows: list[dict]) -> Lexica:
     given = word_hashes(given)
     count: Counter = Counter()
     for group in paged([r["note"] for r in rows]):
-        count.update(small_words(Page([rows[i]["note"] for i in group]), given)[1].tolist())
+        count.update(small_words(Page([rows[i]["note"] for i in group], raw=False), given)[1].tolist())
     hashes = sorted(h for h, n in count.items() if n >= max(2, SMALL_SHARE * len(rows)))
     return Lexica(given, frozenset(cities), np.array(hashes, np.uint64), np.array([count[h] / max(1, len(rows)) for h in hashes]))
 
@@ -577,7 +577,7 @@ class NameLabels:
         self.own = np.unique(_pairs([own_d[k] for k in at], [hashed[own_w[k]] for k in at])) if at else np.zeros(0, np.uint64)
         self.surname = np.setdiff1d(word_hashes(family), lexica.given)
         # strange words: never in small letters, in few notes
-        pairs = [np.unique(np.stack([w.doc[w.capital].astype(np.uint64), w.low[w.capital]], axis=1), axis=0)[:, 1] for _, w in pages if w.capital.any()]
+        pairs = [w.low[w.capital][np.unique(_pairs(w.doc[w.capital], w.low[w.capital]), return_index=True)[1]] for _, w in pages if w.capital.any()]
         words, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.uint64), np.zeros(0))
         self.capital_words = np.setdiff1d(words, word_hashes(w for p in places for w in p.split()))
         self.strange_words = np.intersect1d(self.capital_words, words[n <= max(2, 0.012 * len(rows))])
@@ -799,7 +799,7 @@ def corpus_lexica(notes: DataFrame, personas: DataFrame | None, note: str = "not
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for group in paged(texts):
-                hashes, n = np.unique(small_words(Page([texts[i] for i in group]), known.value)[1], return_counts=True)
+                hashes, n = np.unique(small_words(Page([texts[i] for i in group], raw=False), known.value)[1], return_counts=True)
                 for h, k in zip(hashes.astype(np.int64).tolist(), n.tolist(), strict=True):
                     total[h] = total.get(h, 0) + k
             if len(total) > 1 << 20:
