@@ -16,6 +16,7 @@ negative shares count as 0; an empty table gives no row.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,34 +102,34 @@ def assign(bins: list[tuple[object, dict[str, int]]], shares: dict[str, float])
     """Greedy placement of bins (key, counts by label): the split whose choice leaves the least squared deviation, largest bins first."""
     goal = sum(s for s in shares.values() if s > 0) or 1.0
     shares = {k: max(s, 0.0) / goal for k, s in shares.items()}
-    totals: dict[str, int] = {}
-    for _, counts in bins:
-        for label, n in counts.items():
-            totals[label] = totals.get(label, 0) + n
-    have = {k: dict.fromkeys(totals, 0) for k in shares}
-    size = dict.fromkeys(shares, 0)
-    everything = sum(totals.values()) or 1
+    live = sorted(k for k in shares if shares[k] > 0)
+    if not live:
+        return {}
+    labels = sorted({x for _, counts in bins for x in counts})
+    at = {x: i for i, x in enumerate(labels)}
+    table = np.zeros((len(bins), len(labels) + 1))
+    for row, (_, counts) in zip(table, bins, strict=True):
+        for x, n in counts.items():
+            row[at[x]] = n
+    table[:, -1] = table[:, :-1].sum(1)  # in all
+    totals = np.maximum(table.sum(0), 1)
+    goal_of = np.array([shares[k] for k in live])[:, None] * table.sum(0)
+    have = np.zeros_like(goal_of)
     out = {}
-    for key, counts in sorted(bins, key=lambda b: (-sum(b[1].values()), str(b[0]))):
-        n = sum(counts.values())
-
-        def price(split: str, counts: dict = counts, n: int = n) -> float:
-            # change of the squared deviations from the goals, by label and in all
-            x = sum(((have[split][label] + c - shares[split] * totals[label]) ** 2 - (have[split][label] - shares[split] * totals[label]) ** 2) / totals[label] for label, c in counts.items())
-            return x + ((size[split] + n - shares[split] * everything) ** 2 - (size[split] - shares[split] * everything) ** 2) / everything
-
-        best = min((k for k in shares if shares[k] > 0), key=lambda k: (price(k), k))
-        out[key] = best
-        size[best] += n
-        for label, c in counts.items():
-            have[best][label] += c
+    for i in sorted(range(len(bins)), key=lambda i: (-table[i, -1], str(bins[i][0]))):
+        c = table[i]
+        # change of the squared deviations from the goals, by label and in all
+        price = (((have + c - goal_of) ** 2 - (have - goal_of) ** 2) / totals).sum(1)
+        best = int(np.argmin(np.round(price, 9)))  # of equal prices the first split in order
+        out[bins[i][0]] = live[best]
+        have[best] += c
     return out
 
 
 def split_groups(df: DataFrame, targets: DataFrame, record_id: str, subject: str, text: str, label: Column, keep: list[str] = ()) -> DataFrame:
     """Every row: record id, ``keep``, person (the group), label, split."""
     spark = df.sparkSession
-    shares = {r.split: float(r.share or 0.0) for r in targets.filter("split IS NOT NULL").groupBy("split").agg(F.sum("share").alias("share")).limit(1000).collect()}
+    shares = {r.split: float(r.share or 0.0) for r in targets.filter("split IS NOT NULL").groupBy("split").agg(F.sum("share").alias("share")).collect()}  # the stated splits, all of them
     # the texts are searched once; what is kept of a row is narrow
     tagged = stable(with_entities(df, record_id, subject, text).select(record_id, *keep, "__entities", F.coalesce(label, F.lit("none")).alias("label")))
     rows = tagged.select(record_id, *keep, F.element_at("__entities", 1).alias("__node"), "label")
@@ -147,18 +148,32 @@ def split_groups(df: DataFrame, targets: DataFrame, record_id: str, subject: str
         bins.setdefault(r.bin, {})[r.l] = r.n
     sides = assign(list(bins.items()), shares) if shares else {}
     plan = spark.createDataFrame(list(sides.items()), "bin string, split string")
-    by_node = people.join(groups.join(F.broadcast(plan), "bin"), "label").select(F.col("node").alias("__node"), F.col("label").alias("person"), "split")
-    return rows.join(by_node, "__node", "left").select(record_id, *keep, "person", "label", "split")
+    by_node = stable(people.join(groups.join(F.broadcast(plan), "bin"), "label").select(F.col("node").alias("__node"), F.col("label").alias("person"), "split"))
+    # nodes over HEAVY_SHARE of the rows, at most 1 / HEAVY_SHARE of them, are broadcast; their rows never meet in one task
+    hot = per_node.groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") > F.lit(total * HEAVY_SHARE)).select(F.col("node").alias("__node"))
+    heavy_nodes = F.broadcast(stable(by_node.join(F.broadcast(hot), "__node", "left_semi")))
+    out = [record_id, *keep, "person", "label", "split"]
+    often = rows.join(heavy_nodes, "__node").select(*out)
+    rest = rows.join(heavy_nodes, "__node", "left_anti").join(by_node, "__node", "left").select(*out)
+    return often.unionByName(rest)
 
 
-def same_person_pairs(df: DataFrame, record_id: str, subject: str, text: str) -> DataFrame:
-    """Pairs (subject_a < subject_b, byte order) of different stored subjects of one person."""
+def same_person_classes(df: DataFrame, record_id: str, subject: str, text: str) -> DataFrame:
+    """Every stored subject once: subject, person (the class, by its least entity) and n_subjects, the stored subjects of that person.
+
+    The form to use where a person may hold many subjects: rows grow with the subjects, not with their pairs.
+    """
     # the texts are searched once; equal subjects with equal numbers are one row from here on
     tagged = with_entities(df, record_id, subject, text).filter(F.col(subject).isNotNull()).select(subject, "__entities")
     tagged = stable(tagged.distinct())
-    stored = tagged.select(F.col(subject).alias("stored"), F.element_at("__entities", 1).alias("node"), tidy_id(F.col(subject)).alias("tidy")).filter("tidy IS NOT NULL").select("stored", "node").distinct()
-    named = stored.join(persons(tagged), "node").select("stored", "label")
-    several = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
-    some = stable(named.join(several, "label", "left_semi"))
+    stored = tagged.select(F.col(subject).alias("subject"), F.element_at("__entities", 1).alias("node"), tidy_id(F.col(subject)).alias("tidy")).filter("tidy IS NOT NULL").select("subject", "node").distinct()
+    named = stable(stored.join(persons(tagged), "node").select("subject", F.col("label").alias("person")))
+    sizes = named.groupBy("person").agg(F.count(F.lit(1)).alias("n_subjects"))
+    return named.join(sizes, "person").select("subject", "person", "n_subjects")
+
+
+def same_person_pairs(df: DataFrame, record_id: str, subject: str, text: str) -> DataFrame:
+    """Pairs (subject_a < subject_b, byte order) of different stored subjects of one person, out of ``same_person_classes``."""
+    some = stable(same_person_classes(df, record_id, subject, text).filter("n_subjects > 1").select("subject", "person"))
     a, b = some.alias("a"), some.alias("b")
-    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.stored") < F.col("b.stored"))).select(F.col("a.stored").alias("subject_a"), F.col("b.stored").alias("subject_b"))
+    return a.join(b, (F.col("a.person") == F.col("b.person")) & (F.col("a.subject") < F.col("b.subject"))).select(F.col("a.subject").alias("subject_a"), F.col("b.subject").alias("subject_b"))

@@ -228,5 +228,17 @@ def lookalike_pairs(df: DataFrame, id_col: str, text: str, model: Model | None =
     keys = stable(consistent_text(df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()), id_col, text, model, keys_only=True))
     mixed = keys.groupBy("form_key").agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi")).filter("lo <> hi").select("form_key")
     rows = stable(keys.join(mixed, "form_key", "left_semi").select(F.col(id_col).alias("id"), "form_key", "raw_key").distinct())
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw_key") != F.col("b.raw_key"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
+    # different writings meet first, then each writing's rows the rows of the other: copies of one writing never meet
+    written = stable(rows.select("form_key", "raw_key").distinct())
+    x, y = written.alias("x"), written.alias("y")
+    facing = x.join(y, (F.col("x.form_key") == F.col("y.form_key")) & (F.col("x.raw_key") < F.col("y.raw_key"))).select(F.col("x.form_key").alias("form_key"), F.col("x.raw_key").alias("raw_key"), F.col("y.raw_key").alias("other"))
+    a = rows.join(facing, ["form_key", "raw_key"]).select(F.col("id").alias("a"), "form_key", F.col("other").alias("raw_key"))
+    b = rows.select(F.col("id").alias("b"), "form_key", "raw_key")
+    return a.join(b, ["form_key", "raw_key"]).select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id")).filter("a_id < b_id").distinct()
+
+
+def lookalike_classes(df: DataFrame, id_col: str, text: str, model: Model | None = None) -> DataFrame:
+    """Every row with a text: id, form_key (its class), n_rows and n_writings of the class; grows with the rows, not with their pairs."""
+    keys = stable(consistent_text(df.filter(F.col(text).isNotNull()), id_col, text, model, keys_only=True))
+    sizes = keys.groupBy("form_key", "raw_key").agg(F.count(F.lit(1)).alias("n")).groupBy("form_key").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_writings"))
+    return keys.join(sizes, "form_key").select(id_col, F.lower(F.hex("form_key")).alias("form_key"), "n_rows", "n_writings")

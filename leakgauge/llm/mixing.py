@@ -79,9 +79,11 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, text: str, source: str,
     """The chosen documents (id, source, n_tokens, uses) and the report per target source."""
     spark = df.sparkSession
     aims = _targets(targets)
-    named = df.filter(F.col(source).isin(list(aims)) if len(aims) <= 1000 else F.col(source).isNotNull())
+    # at most MAX_TARGETS names
+    asked = F.broadcast(spark.createDataFrame([(k,) for k in aims], "a_source string"))
+    named = df.join(asked, F.col(source) == F.col("a_source"), "left_semi")
     sized = stable(token_sizes(named, text, [id_col, source], vocabulary))
-    sums = {r.s: int(r.n or 0) for r in sized.groupBy(F.col(source).alias("s")).agg(F.sum("n_tokens").alias("n")).filter(F.col("s").isin(list(aims)) if len(aims) <= 1000 else F.lit(True)).collect()}
+    sums = {r.s: int(r.n or 0) for r in sized.groupBy(F.col(source).alias("s")).agg(F.sum("n_tokens").alias("n")).collect()}  # one row per target
     found = rates(sums, aims, min_total_share)
     plan = spark.createDataFrame([(r.source, float(r.target_share), r.max_repeats, r.tokens, r.rate) for r in found], "r_source string, target_share double, max_repeats int, tokens_at_hand long, rate double")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) / float(1 << 52)

@@ -1,18 +1,21 @@
 """Filling fixed-capacity containers (problem 7).
 
 Dynamic programming over the global histogram of sizes chooses bucket
-boundaries that minimise padding; inside each bucket the items take slots of
-the bucket's upper bound under the token budget of a container. So that long
-items leave little unused, the batches are planned over all buckets at once:
-a container that holds slots of a large bucket takes slots of smaller buckets
-in what is left. The plan is made from the bucket counts alone (at most
-``buckets`` numbers); the items find their places by their rank in the bucket,
-counted in parallel. Item texts are read once for their sizes and never moved.
+boundaries that minimise padding. Step 1 forms token-budget batches inside each
+bucket: as many slots of the bucket's upper bound as the capacity holds make a
+container. Step 2 opens the batches that would leave more than ``waste`` of a
+container unused, and those left over at a bucket's end, and combines their
+slots over all buckets: largest first, smaller ones in what is left. Every
+place says which step made its container, and ``fill_report`` gives the fill of
+step 1 alone beside that of both. The plan is made from the bucket counts alone
+(at most ``buckets`` numbers); the items find their places by their rank in the
+bucket, counted in parallel. Item texts are read once for their sizes and never
+moved.
 
 Defined results: a text above the capacity is cut into pieces of exactly the
 capacity and a rest; NULL and empty texts have no token and take no container
-(container, slot and start_in_container are NULL); repeated rows are items of
-their own; an empty table has no container.
+(container, slot, start_in_container and step are NULL); repeated rows are items
+of their own; an empty table has no container.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from leakgauge.session import stable
 
 #: Ranks are counted inside so many hash parts of every bucket.
 PARTS = 512
+#: A batch of one bucket stays a container of its own if it leaves at most this share unused.
+WASTE = 0.05
 
 
 def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -60,16 +65,42 @@ def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     return sorted(bounds)
 
 
-def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over whole buckets: rows (bound, rank_from, rank_to, first_container, per_container, first_slot).
+#: bound, rank_from, rank_to, first_container, per_container, first_slot, step
+Planned = tuple[int, int, int, int, int, int, int]
+
+
+def plan_batches(counts: dict[int, int], capacity: int, waste: float = 1.0) -> list[Planned]:
+    """Step 1: full batches inside each bucket that leave at most ``waste`` of a container unused; with 1 every batch, the last of a bucket too."""
+    rows, container = [], 0
+    for b in sorted(counts):
+        m = capacity // b
+        if not counts[b] or capacity - m * b > waste * capacity:
+            continue
+        n = -(-counts[b] // m) if waste >= 1 else counts[b] // m
+        if n:
+            rows.append((b, 0, min(n * m, counts[b]), container, m, 0, 1))
+            container += n
+    return rows
+
+
+def plan(counts: dict[int, int], capacity: int, waste: float) -> list[Planned]:
+    """Both steps."""
+    rows = plan_batches(counts, capacity, waste)
+    used = {r[0]: r[2] for r in rows}
+    container = max((r[3] + -(-(r[2] - r[1]) // r[4]) for r in rows), default=0)
+    return rows + plan_containers({b: n - used.get(b, 0) for b, n in counts.items()}, capacity, used, container)
+
+
+def plan_containers(counts: dict[int, int], capacity: int, used: dict[int, int] | None = None, container: int = 0) -> list[Planned]:
+    """Step 2: best-fit decreasing over whole buckets; ``used`` says how many items of a bucket have a place, ``container`` the next number.
 
     Containers with the same filling are planned together, so the work depends
     on the number of buckets, not of items.
     """
     left = {b: n for b, n in counts.items() if n}
-    used = dict.fromkeys(left, 0)
+    used = {b: (used or {}).get(b, 0) for b in left}
     order = sorted(left)
-    rows, container = [], 0
+    rows = []
     while order:
         room, filling = capacity, []
         for b in reversed(order):  # the largest bucket opens the container, smaller ones fill it up
@@ -93,7 +124,7 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, in
         repeat = min(left[b] // m for b, m in filling)
         slot = 0
         for b, m in filling:
-            rows.append((b, used[b], used[b] + repeat * m, container, m, slot))
+            rows.append((b, used[b], used[b] + repeat * m, container, m, slot, 2))
             used[b] += repeat * m
             left[b] -= repeat * m
             slot += m
@@ -102,11 +133,11 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, in
     return rows
 
 
-PLAN_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("p_bound", "rank_from", "rank_to", "first_container", "per_container", "first_slot")])
+PLAN_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("p_bound", "rank_from", "rank_to", "first_container", "per_container", "first_slot", "step")])
 
 
-def pack(sizes: DataFrame, id_col: str, size: str, capacity: int = 2048, buckets: int = 192) -> DataFrame:
-    """Places of the items of ``sizes`` (id, size): id, piece (from 0), start_token, n_tokens, container, slot, start_in_container."""
+def pack(sizes: DataFrame, id_col: str, size: str, capacity: int = 2048, buckets: int = 192, waste: float = WASTE) -> DataFrame:
+    """Places of the items of ``sizes`` (id, size): id, piece (from 0), start_token, n_tokens, container, slot, start_in_container, step (``waste`` 1: step 1 alone)."""
     spark = sizes.sparkSession
     if capacity < 1 or buckets < 1:
         raise ValueError("capacity and buckets must be positive")
@@ -122,7 +153,7 @@ def pack(sizes: DataFrame, id_col: str, size: str, capacity: int = 2048, buckets
     counts: dict[int, int] = dict.fromkeys(bounds, 0)
     for n, c in histogram.items():
         counts[bounds[bisect.bisect_left(bounds, n)]] += c
-    plan = spark.createDataFrame(plan_containers(counts, capacity), PLAN_SCHEMA)  # grows with the buckets, not the items
+    planned = spark.createDataFrame(plan(counts, capacity, waste), PLAN_SCHEMA)  # grows with the buckets, not the items
 
     table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     bound = F.element_at(F.filter(table, lambda b: b >= F.col("n_tokens")), 1)
@@ -132,24 +163,27 @@ def pack(sizes: DataFrame, id_col: str, size: str, capacity: int = 2048, buckets
     inside = F.row_number().over(Window.partitionBy("bound", "part").orderBy(id_col, "piece", "n_tokens")) - 1
     # offsets: at most buckets x PARTS rows, plan: a few rows per bucket; both are bounded by parameters
     ranked = placed.withColumn("inside", inside).join(F.broadcast(offsets), ["bound", "part"]).withColumn("rank", F.col("offset") + F.col("inside"))
-    slots = ranked.join(F.broadcast(plan), (F.col("bound") == F.col("p_bound")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+    slots = ranked.join(F.broadcast(planned), (F.col("bound") == F.col("p_bound")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     at = F.col("rank") - F.col("rank_from")
     slots = slots.select(
         id_col, "piece", "start_token", "n_tokens",
         (F.col("first_container") + F.floor(at / F.col("per_container"))).cast("long").alias("container"),
         (F.col("first_slot") + at % F.col("per_container")).cast("int").alias("slot"),
+        F.col("step").cast("int").alias("step"),
     )
     before = Window.partitionBy("container").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("start_in_container", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
-    none = items.filter("n_tokens <= 0").select(id_col, "piece", "start_token", "n_tokens", F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("start_in_container"))
+    slots = slots.withColumn("start_in_container", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long")).select(id_col, "piece", "start_token", "n_tokens", "container", "slot", "start_in_container", "step")
+    none = items.filter("n_tokens <= 0").select(id_col, "piece", "start_token", "n_tokens", F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("start_in_container"), F.lit(None).cast("int").alias("step"))
     return slots.unionByName(none)
 
 
-def pack_texts(df: DataFrame, id_col: str, text: str, capacity: int = 2048, buckets: int = 192, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def pack_texts(df: DataFrame, id_col: str, text: str, capacity: int = 2048, buckets: int = 192, waste: float = WASTE, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``pack`` over the sizes of texts in tokens."""
-    return pack(token_sizes(df, text, [id_col], vocabulary), id_col, "n_tokens", capacity, buckets)
+    return pack(token_sizes(df, text, [id_col], vocabulary), id_col, "n_tokens", capacity, buckets, waste)
 
 
 def fill_report(placed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """One row: containers, n_tokens, fill (the share of all space that is used)."""
-    return placed.filter("container IS NOT NULL").agg((F.max("container") + 1).alias("containers"), F.sum("n_tokens").alias("n_tokens")).withColumn("fill", F.col("n_tokens") / (F.col("containers") * capacity))
+    """One row per step, and one with step NULL for both: containers, n_items, n_tokens, fill (the share of their space that is used)."""
+    held = placed.filter("container IS NOT NULL").groupBy("container", "step").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("i"))
+    by = held.rollup("step").agg(F.count(F.lit(1)).alias("containers"), F.sum("i").alias("n_items"), F.sum("t").alias("n_tokens"))
+    return by.withColumn("fill", F.col("n_tokens") / (F.col("containers") * capacity))

@@ -285,6 +285,22 @@ def test_split_keeps_persons_together_and_meets_shares(spark):
     assert groupsplit.split_groups(big.limit(0), aims, "note_id", "subject_id", "note", F.col("note")).count() == 0
 
 
+def test_more_than_a_thousand_splits(spark):
+    n = 1001
+    df = spark.createDataFrame([(f"n{i}", f"S{i}", "a") for i in range(3 * n)], "note_id string, subject_id string, note string")
+    aims = spark.createDataFrame([(f"part{i}", 1.0 / n) for i in range(n)], "split string, share double")
+    got = groupsplit.split_groups(df, aims, "note_id", "subject_id", "note", F.lit("x")).groupBy("split").count().collect()
+    assert len(got) > 0.9 * n and sum(r["count"] for r in got) == 3 * n
+
+
+def test_classes_of_persons(spark):
+    df = notes_of_persons(spark)
+    pairs = {tuple(r) for r in groupsplit.same_person_pairs(df, "note_id", "subject_id", "note").collect()}
+    classes = groupsplit.same_person_classes(df, "note_id", "subject_id", "note").collect()
+    assert {(a.subject, b.subject) for a in classes for b in classes if a.person == b.person and a.subject < b.subject} == pairs
+    assert all(r.n_subjects == sum(x.person == r.person for x in classes) for r in classes)
+
+
 # ---- problem 4
 
 
@@ -388,8 +404,24 @@ def test_a_letter_beside_a_number_both_ways(spark):
     assert {r.row_id for r in got if r.near} == near and not any(r.exact for r in got)
 
 
-def test_coverage():
-    assert overlap.covered([(0, 4), (2, 6), (8, 9)]) == 7 and overlap.one_letter_apart("abcd", "abxd") == 3 and overlap.one_letter_apart("abc", "ab1") == -1 and overlap.one_letter_apart("a", "abc") == -1
+def test_coverage(spark):
+    assert overlap.merged([(2, 6), (0, 4), (8, 9)]) == [(0, 6), (8, 9)]
+    assert overlap.one_letter_apart("abcd", "abxd") and not overlap.one_letter_apart("abc", "ab1") and not overlap.one_letter_apart("a", "abc") and not overlap.one_letter_apart("ab", "ab")
+    # runs of two training texts cover a passage that neither comes near; a run of one covers half of a word less
+    rows = [(1, "Anna Bell Carl", "val"), (2, "Bell Anna Cabc", "train"), (3, "Anna Xxrl Bell", "train"), (4, "Dora Elm Finch", "val"), (5, "Dora Elm Fixxx", "train"), (10, "Dora Elm Finchley", "train"), (6, "Gus Hay", "test"), (7, "Ina Hay", "train"), (8, "Joe Key", "val"), (9, "key joe", "train")]
+    df = spark.createDataFrame(rows, "row_id long, value string, split string").withColumn("pii_type", F.lit("name-patient"))
+    got = {r.row_id: (r.exact, r.near, round(r.coverage, 3)) for r in overlap.eval_overlaps(df, "row_id", "value", "pii_type", "split").collect()}
+    assert got == {1: (False, False, 1.0), 4: (False, False, round(9 / 12, 3)), 6: (False, False, 0.0), 8: (True, False, 1.0)}
+
+
+def test_one_shard_or_many(spark, monkeypatch):
+    rnd = random.Random(3)
+    names = [f"{rnd.choice(['Ana', 'Bo', 'Cy'])} {''.join(rnd.choice('abc') for _ in range(rnd.randrange(1, 6)))}" for _ in range(300)]
+    df = spark.createDataFrame([(i, n, rnd.choice(["train", "val"])) for i, n in enumerate(names)], "row_id long, value string, split string").withColumn("pii_type", F.lit("name-patient"))
+    rows = lambda: sorted(map(tuple, overlap.eval_overlaps(df, "row_id", "value", "pii_type", "split").collect()))
+    one = rows()
+    monkeypatch.setattr(overlap, "SHARD_ROWS", 50)
+    assert rows() == one and any(r[4] for r in one)
 
 
 # ---- problem 7
@@ -428,6 +460,19 @@ def test_packing_places_everything(spark, buckets):
     uncut = {i: n for i, n in rows if n and n <= 100}
     assert all(r.piece == 0 for r in got if r.doc_id in uncut and r.doc_id != 7)
     assert packing.pack(df.limit(0), "doc_id", "n", 100).count() == 0
+    # step 1 alone: the batches of one bucket each, and no more unused by both steps
+    alone = packing.pack(df, "doc_id", "n", 100, buckets, waste=1.0).collect()
+    assert {r.step for r in alone if r.n_tokens} == {1} and sum(r.n_tokens for r in alone) == sum(r.n_tokens for r in got)
+    assert len(fill) <= len({r.container for r in alone if r.n_tokens})
+    report = {r.step: r for r in packing.fill_report(packing.pack(df, "doc_id", "n", 100, buckets), 100).collect()}
+    assert report[None].containers == len(fill) and report[None].n_tokens == sum(fill.values()) == sum(r.n_tokens for k, r in report.items() if k)
+
+
+def test_batches_of_a_bucket_stay_together():
+    rows = packing.plan_batches({50: 5, 30: 7, 99: 3, 60: 4}, 100, 0.1)
+    assert rows == [(30, 0, 6, 0, 3, 0, 1), (50, 0, 4, 2, 2, 0, 1), (99, 0, 3, 4, 1, 0, 1)]
+    both = packing.plan({50: 5, 30: 7, 99: 3, 60: 4}, 100, 0.1)
+    assert both[:3] == rows and {r[0]: r[2] for r in both} == {50: 5, 30: 7, 99: 3, 60: 4} and {r[6] for r in both[3:]} == {2}
 
 
 def test_text_sizes(spark):
@@ -439,6 +484,16 @@ def test_text_sizes(spark):
     assert got == {i: len(tokens.encoder(VOCABULARY).encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
 
 
+def test_long_texts_have_the_tokens_of_the_whole(monkeypatch):
+    rnd = random.Random(8)
+    made = lambda signs, n: "".join(rnd.choice(signs) for _ in range(n))
+    texts = [made(["word", " ", "  ", "\n", ".", "don't", " 12", "é", "_"], 60_000), "x" * 111_909, made("abcdefgh", 200_000), made(["a", "\u00a0", "\t"], 150_000), "plain words here " * 15_000]
+    whole = [len(tokens.encoder(VOCABULARY).encode_ordinary(t)) for t in texts]
+    assert [tokens.count_tokens(t) for t in texts] == whole
+    monkeypatch.setattr(tokens, "STRETCH", 100)
+    assert [tokens.count_tokens(t) for t in texts] == whole
+
+
 # ---- problem 8
 
 
@@ -465,6 +520,14 @@ def test_mix_reaches_shares(spark):
     assert mixing.mix(df.limit(0), aims, "doc_id", "text", "source")[0].count() == 0
 
 
+def test_mix_with_more_than_a_thousand_targets(spark):
+    n = 1001
+    df = spark.createDataFrame([(i, "word " * 6, f"s{i % (2 * n)}") for i in range(4 * n)], "doc_id long, text string, source string")
+    aims = spark.createDataFrame([(f"s{i}", 1.0 / n, 2) for i in range(n)], "source string, target_share double, max_repeats int")
+    chosen, report = mixing.mix(df, aims, "doc_id", "text", "source")
+    assert {r.source for r in chosen.select("source").distinct().collect()} == {f"s{i}" for i in range(n)} and report.filter("tokens_used > 0").count() == n
+
+
 # ---- problem 9
 
 
@@ -496,3 +559,7 @@ def test_pairs(spark, model):
     assert lookalike.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
     long = spark.createDataFrame([(1, "pain " * 50000), (2, "раin " * 50000)], "doc_id long, text string")
     assert lookalike.lookalike_pairs(long, "doc_id", "text", model).count() == 1
+    many = spark.createDataFrame([(i, "pain") for i in range(3000)] + [(9000, "раin"), (9001, "p\u0430in")], "doc_id long, text string")
+    assert lookalike.lookalike_pairs(many, "doc_id", "text", model).count() == 2 * 3000 + 1  # copies of one writing do not meet
+    classes = lookalike.lookalike_classes(df, "doc_id", "text", model).collect()
+    assert {(r.n_rows, r.n_writings) for r in classes if r.doc_id in (1, 2, 3)} == {(6, 3)} and len(classes) == 9
