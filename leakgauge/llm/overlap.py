@@ -212,16 +212,18 @@ def matched_forms(evals: DataFrame, trains: DataFrame, near_types: list[str]) ->
     # an upper bound of the ways, read off the number of words: nothing is sent to be counted
     ways = lambda df, each: df.agg(F.sum(1 + each * F.size(F.split("form", " "))).alias("n")).first().n or 0
     shards = max(1, -(-int(ways(evals, 3) + ways(trains, 4)) // SHARD_ROWS))
-    side = lambda df, train: _shards(_sent(df, near_types, train), shards).groupBy("shard")
+    sides = [_shards(_sent(df, near_types, train), shards) for df, train in ((evals, False), (trains, True))]
+    # both sides may come from one frame; other names keep their columns apart in the cogroup
+    sides[1] = sides[1].toDF("shard", "t_type", "t_form", "t_codes")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = lambda t: zip(*(t.column(c).to_pylist() for c in ("pii_type", "form", "codes")), strict=True)
+        rows = lambda t: zip(*(t.column(j).to_pylist() for j in (1, 2, 3)), strict=True)
         found = scan_shard(list(rows(left)), rows(right)) if left.num_rows and right.num_rows else {}
         keys = list(found)
         spans = pa.array([[{"s": a, "e": b} for a, b in found[k][2]] for k in keys], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
         return pa.table({"pii_type": pa.array([k[0] for k in keys], pa.string()), "form": pa.array([k[1] for k in keys], pa.string()), "exact": pa.array([found[k][0] for k in keys], pa.bool_()), "near": pa.array([found[k][1] for k in keys], pa.bool_()), "intervals": spans})
 
-    found = side(evals, False).cogroup(side(trains, True)).applyInArrow(scan, MATCH_SCHEMA)
+    found = sides[0].groupBy("shard").cogroup(sides[1].groupBy("shard")).applyInArrow(scan, MATCH_SCHEMA)
     # what the shards found of a passage is merged: at most a few intervals per word
     both = found.groupBy("pii_type", "form").agg(F.max("exact").alias("exact"), F.max("near").alias("near"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("intervals")))).alias("intervals"))
     return both.select("pii_type", "form", "exact", (F.col("near") & ~F.col("exact")).alias("near"), covered_share("form", "intervals").alias("coverage"))
