@@ -1,8 +1,9 @@
 """Duplicates hidden by formatting differences (problem 4).
 
 Columns are dictionary-encoded: each distinct value is brought to its canonical
-form once, every distinct form gets an integer, the records are rewritten as
-sorted tuples of (field, integer) and the compact tuples are grouped. Records
+form once, every distinct form gets an integer (in two parts), the records are
+rewritten as tuples of integers in the order of the fields and the compact
+tuples are grouped. Records
 are counted by their raw fields first, so a value that holds a third of all
 rows crosses the network once per task.
 
@@ -22,57 +23,50 @@ from leakgauge.session import stable
 
 #: Forms are numbered inside so many hash buckets, so that no task sees all of them.
 BUCKETS = 1 << 16
-#: A dictionary of at most so many entries is broadcast; its size is counted before.
+#: A dictionary of types of at most so many entries is broadcast; its size is counted before.
 BROADCAST_ENTRIES = 20_000
 #: A raw record over this share of all rows is hot; there are at most 1 / share of them.
 HOT_SHARE = 1 / 1000
 
+#: The integer tuple of a record: its type, and the two integers of its form (bucket and number inside it).
+RECORD = ["__type", "__bucket", "__number"]
 
-def number_forms(df: DataFrame, form: str, out: str) -> DataFrame:
-    """A distinct integer for every row of ``df``, whose ``form`` values are distinct; the same on every run."""
-    bucket = F.pmod(F.xxhash64(form), F.lit(BUCKETS))
-    numbered = df.withColumn("__bucket", bucket).withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket").orderBy(form)))
-    return numbered.withColumn(out, F.col("__rank").cast("long") * BUCKETS + F.col("__bucket")).drop("__bucket", "__rank")
 
-
-def _encode(records: DataFrame, field: str, form: Column) -> DataFrame:
-    """Adds ``<field>__id``: the integer of the field's form, 0 where it has none."""
-    raw = records.select(F.col(field).alias("__raw"), form.alias("__form")).filter("__form IS NOT NULL").distinct()
-    ids = number_forms(raw.select("__form").distinct(), "__form", "__id")
-    entries = raw.join(ids, "__form").select("__raw", "__form", "__id")
-    return entries
+def raw_key(value: Column, pii_type: Column) -> list[Column]:
+    """A raw record as a pair of 64-bit hashes, so that its text crosses the network once only."""
+    return [F.xxhash64(F.lit(seed), value, F.coalesce(pii_type, F.lit("")), pii_type.isNull()).alias(f"__h{seed}") for seed in (1, 2)]
 
 
 def collapse(df: DataFrame, value: str, pii_type: str | None = None) -> DataFrame:
-    """One row per raw record: ``value``, ``pii_type``, n (its rows), form, record (the integer tuple).
+    """One row per raw record: ``value``, ``pii_type``, n (its rows), form, and the integer tuple RECORD.
 
-    The record is the sorted tuple of (field number, integer) pairs.
+    Equal forms stand next to one another in their bucket and get one number,
+    so the dictionary needs no join; rows stay where their bucket is, so what
+    is grouped by the tuple afterwards is not shuffled again.
     """
-    kind = kind_of(F.col("__v"), None if pii_type is None else F.col("__t"))
-    base = df.select(F.col(value).alias("__v"), (F.col(pii_type) if pii_type else F.lit(None).cast("string")).alias("__t"))
-    counted = base.filter(F.col("__v").isNotNull()).groupBy("__t", "__v").agg(F.count(F.lit(1)).alias("n")).withColumn("__kind", kind)
-    counted = stable(counted.withColumn("__key", F.concat_ws("\x01", "__kind", "__v")))
-    values = _encode(counted, "__key", F.concat_ws("\x01", "__kind", canonical(F.col("__v"), F.col("__kind")))).filter(~F.col("__form").endswith("\x01") & F.contains(F.col("__form"), F.lit("\x01")))
-    out = counted.join(values.withColumnRenamed("__raw", "__key").withColumnRenamed("__id", "__value_id"), "__key")
-    pair = lambda no, x: F.struct(F.lit(no).alias("field"), x.alias("id"))
-    fields = [pair(1, F.col("__value_id"))]
-    if pii_type:
-        types = _encode(counted, "__t", F.col("__t")).select(F.col("__raw").alias("__t"), F.col("__id").alias("__type_id"))
-        few = types.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
-        out = out.join(F.broadcast(types) if few else types, "__t", "left")
-        fields.append(pair(0, F.coalesce("__type_id", F.lit(0).cast("long"))))
-    return out.select(
-        F.col("__v").alias("value"), F.col("__t").alias("pii_type"), "n", F.element_at(F.split("__form", "\x01"), 2).alias("form"), F.array_sort(F.array(*fields)).alias("record")
-    )
+    base = df.select(F.col(value).alias("value"), (F.col(pii_type) if pii_type else F.lit(None).cast("string")).alias("pii_type")).filter(F.col("value").isNotNull())
+    counted = base.groupBy("pii_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    kind = kind_of(F.col("value"), F.col("pii_type") if pii_type else None)
+    formed = counted.withColumn("__kind", kind).withColumn("form", canonical(F.col("value"), F.col("__kind"))).filter("form IS NOT NULL")
+    formed = formed.withColumn("__bucket", F.pmod(F.xxhash64("form", "__kind"), F.lit(BUCKETS)).cast("int"))
+    coded = formed.withColumn("__number", F.dense_rank().over(Window.partitionBy("__bucket").orderBy("form", "__kind")))
+    if not pii_type:
+        return coded.withColumn("__type", F.lit(0)).select("value", "pii_type", "n", "form", *RECORD)
+    types = base.select("pii_type").filter("pii_type IS NOT NULL").distinct()
+    types = types.select(F.col("pii_type").alias("__t"), F.dense_rank().over(Window.orderBy("pii_type")).alias("__type")) if types.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else None
+    if types is None:  # more types than a dictionary should hold: the type stands for itself
+        return coded.withColumn("__type", F.col("pii_type")).select("value", "pii_type", "n", "form", *RECORD)
+    out = coded.join(F.broadcast(types), coded.pii_type == types["__t"], "left").withColumn("__type", F.coalesce("__type", F.lit(0)))
+    return out.select("value", "pii_type", "n", "form", *RECORD)
 
 
 def identifiers(df: DataFrame, value: str, pii_type: str | None = None) -> DataFrame:
     """One row per identifier: pii_type, form, n_rows, n_writings, writing (the first in byte order)."""
     return (
         collapse(df, value, pii_type)
-        .groupBy("record")
+        .groupBy(*RECORD)
         .agg(F.first("pii_type").alias("pii_type"), F.first("form").alias("form"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_writings"), F.min("value").alias("writing"))
-        .drop("record")
+        .drop(*RECORD)
     )
 
 
@@ -83,15 +77,14 @@ def copy_pairs(df: DataFrame, id_col: str, value: str, pii_type: str | None = No
     of them by definition, are dropped from the rows by a broadcast anti join
     before the rows are shuffled. The result is the same without that step.
     """
-    classes = stable(collapse(df, value, pii_type).select("value", "pii_type", "n", "record"))
-    small = classes.groupBy("record").agg(F.sum("n").alias("__rows")).filter(f"__rows BETWEEN 2 AND {int(most)}").select("record")
-    raws = classes.join(small, "record", "left_semi").select(F.col("value").alias("__v"), F.col("pii_type").alias("__t"), "record")
-    rows = df.select(F.col(id_col).alias("__i"), F.col(value).alias("__v"), (F.col(pii_type) if pii_type else F.lit(None).cast("string")).alias("__t")).filter(F.col("__v").isNotNull() & F.col("__i").isNotNull())
+    class_rows = F.sum("n").over(Window.partitionBy(*RECORD))
+    classes = stable(collapse(df, value, pii_type).select(*raw_key(F.col("value"), F.col("pii_type")), "n", *RECORD, class_rows.alias("__rows")))
+    raws = classes.filter(F.col("__rows").between(2, int(most))).select("__h1", "__h2", *RECORD)
+    t = F.col(pii_type) if pii_type else F.lit(None).cast("string")
+    rows = df.filter(F.col(value).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__i"), *raw_key(F.col(value), t))
     total = classes.agg(F.sum("n").alias("t")).first().t or 0
-    hot = classes.filter(F.col("n") > F.lit(max(int(most), int(total * HOT_SHARE)))).select(F.col("value").alias("__v"), F.col("pii_type").alias("__t"))
-    same = lambda a, b: F.col(f"{a}.__v").eqNullSafe(F.col(f"{b}.__v")) & F.col(f"{a}.__t").eqNullSafe(F.col(f"{b}.__t"))
-    rows = rows.alias("r").join(F.broadcast(hot).alias("h"), same("r", "h"), "left_anti")
-    tagged = rows.alias("r").join(raws.alias("k"), same("r", "k")).select("r.__i", "k.record")
-    grouped = tagged.groupBy("record").agg(F.array_sort(F.collect_set("__i")).alias("ids"))
+    hot = classes.filter(F.col("n") > F.lit(max(int(most), int(total * HOT_SHARE)))).select("__h1", "__h2")
+    tagged = rows.join(F.broadcast(hot), ["__h1", "__h2"], "left_anti").join(raws, ["__h1", "__h2"]).select("__i", *RECORD)
+    grouped = tagged.groupBy(*RECORD).agg(F.array_sort(F.collect_set("__i")).alias("ids"))
     pairs = F.flatten(F.transform("ids", lambda x, k: F.transform(F.slice(F.col("ids"), k + 2, F.lit(int(most))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return grouped.select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("a_id"), F.col("p.b").alias("b_id"))
