@@ -6,34 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CELLS = 4096
+from leakgauge.operators.ranges import in_ranges, starts
 
 
 def at_shares(df: DataFrame, x: str, by: list[str], levels: DataFrame) -> DataFrame:
     """``by``, level columns ``name`` and the linearly interpolated quantile ``value``.
 
-    ``levels`` holds ``by``, name and share, a few rows per group. The rows
-    are counted in equal cells of a group's range, the cells that hold an
-    asked rank are found from the counts, and only their rows are ordered:
-    no task holds a group.
+    ``levels`` holds ``by``, name and share, a few rows per group. Equal values
+    are counted first, the counts are partitioned by ranges of group and value,
+    and only the ranges that hold an asked rank are ordered: no task holds a
+    group, however its values are spread.
     """
     v = df.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(*by, F.col(x).cast("double").alias("__x"))
-    v = v.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))  # equal values travel once
     group = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by]) if by else F.array(F.lit("")).cast("array<string>")
-    v = v.withColumn("__g", group)
-    ends = v.groupBy("__g").agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__c").alias("__n"))
-    width = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0)
-    celled = v.join(ends, "__g").withColumn("__cell", F.least(F.floor((F.col("__x") - F.col("__lo")) / width * CELLS), F.lit(CELLS - 1)))
-    cells = celled.groupBy("__g", "__cell").agg(F.sum("__c").alias("__cc"))
-    up = Window.partitionBy("__g").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS rows
-    cells = cells.withColumn("__before", F.coalesce(F.sum("__cc").over(up), F.lit(0)))
-    asked = levels.withColumn("__g", group).join(ends.select("__g", "__n"), "__g").withColumn("__rank", F.col("share") * (F.col("__n") - 1))
+    v = v.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c")).select(group.alias("__g"), "__x", "__c")
+    ranged = in_ranges(v, [F.col("__g"), F.col("__x")])
+    parts = starts(ranged, ["__c"], ["__g"])  # one row per group and range it lies in
+    sizes = parts.groupBy("__g").agg(F.sum("__s___c").alias("__n"))
+    asked = levels.withColumn("__g", group).join(sizes, "__g").withColumn("__rank", F.col("share") * (F.col("__n") - 1))
     asked = asked.select("*", F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.floor("__rank").alias("k")), F.struct(F.lit("hi").alias("side"), F.ceil("__rank").alias("k")))).alias("__k"))
-    held = asked.join(cells, "__g").filter((F.col("__k.k") >= F.col("__before")) & (F.col("__k.k") < F.col("__before") + F.col("__cc"))).select("__g", *by, "name", "share", "__rank", "__k", "__cell", "__before")
-    inside = Window.partitionBy("__g", "__cell").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = held.select("__g", "__cell").distinct()
-    ordered = celled.join(wanted, ["__g", "__cell"], "left_semi").select("__g", "__cell", "__x", "__c").withColumn("__through", F.sum("__c").over(inside))
-    hit = held.join(ordered, ["__g", "__cell"]).filter((F.col("__k.k") < F.col("__before") + F.col("__through")) & (F.col("__k.k") >= F.col("__before") + F.col("__through") - F.col("__c")))
+    held = asked.join(parts, "__g").filter((F.col("__k.k") >= F.col("__b___c")) & (F.col("__k.k") < F.col("__b___c") + F.col("__s___c"))).select("__g", *by, "name", "__rank", "__k", "__range", F.col("__b___c").alias("__before"))
+    inside = Window.partitionBy("__range", "__g").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = held.select("__g", "__range").distinct()
+    ordered = ranged.join(wanted, ["__g", "__range"], "left_semi").withColumn("__through", F.sum("__c").over(inside))
+    hit = held.join(ordered, ["__g", "__range"]).filter((F.col("__k.k") < F.col("__before") + F.col("__through")) & (F.col("__k.k") >= F.col("__before") + F.col("__through") - F.col("__c")))
     low, high = (F.max(F.when(F.col("__k.side") == s, F.col("__x"))) for s in ("lo", "hi"))
     return hit.groupBy("__g", *by, "name", "__rank").agg(low.alias("__l"), high.alias("__h")).select(*by, "name", (F.col("__l") + (F.col("__h") - F.col("__l")) * (F.col("__rank") - F.floor("__rank"))).alias("value"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leakgauge.functions import text as X
+from leakgauge.operators.ranges import running
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,20 +32,14 @@ def with_prefix(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[F.col(f"`{c}`").alias(prefix + c) for c in df.columns if c not in keys])
 
 
-def number_rows(df: DataFrame, order: str, out: str, prefix: str = "", buckets: int = 256) -> DataFrame:
+def number_rows(df: DataFrame, order: str, out: str, prefix: str = "") -> DataFrame:
     """``prefix`` and the 0-based position in the order of ``order``, a distinct number or text column.
 
-    The positions are counted in two steps, range partition by range
-    partition, so that no task sees all rows.
+    Rows are numbered inside ranges of the order and the ranges' starts added;
+    the input is read once and no task sees more than one range.
     """
-    parts = df.repartitionByRange(buckets, F.col(order)).withColumn("__part", F.spark_partition_id())
-    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__from"))
-    # one row per range: the window below sees ``buckets`` rows
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    low = starts.select("__from", "__start", F.lead("__from").over(Window.orderBy("__from")).alias("__to"))
-    ranged = df.join(F.broadcast(low), (F.col(order) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(order) < F.col("__to"))))
-    inside = F.row_number().over(Window.partitionBy("__from").orderBy(order)) - 1
-    return ranged.withColumn("__at", inside).withColumn(out, F.concat(F.lit(prefix), (F.col("__start") + F.col("__at")).cast("string"))).drop("__from", "__start", "__to", "__at")
+    numbered = running(df.withColumn("__one", F.lit(1)), order, ["__one"], descending=False)
+    return numbered.withColumn(out, F.concat(F.lit(prefix), (F.col("__one_cum") - 1).cast("string"))).drop("__one", "__one_cum")
 
 
 def fill_from_group(df: DataFrame, score: str, group: str) -> DataFrame:

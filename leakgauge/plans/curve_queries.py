@@ -143,16 +143,16 @@ def c11(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FOLD_TAU = _TAIL + ", tau AS (SELECT fold_id, coalesce(min(CASE WHEN mass/total <= 0.05 + 1e-12 THEN score END), max(score)) AS tau, arg_min(mass/total, CASE WHEN mass/total <= 0.05 + 1e-12 THEN score END) AS fpr FROM m GROUP BY fold_id)"
-_FOLD = _FOLD_TAU + """, f AS (SELECT fold_id, any_value(tau) AS tau, any_value(fpr) AS fpr, sum((y_true=1 AND score>=tau)::INTEGER)::BIGINT AS tp, sum((y_true=0 AND score>=tau)::INTEGER)::BIGINT AS fp, sum((y_true=1 AND score<tau)::INTEGER)::BIGINT AS fn, sum((y_true=0 AND score<tau)::INTEGER)::BIGINT AS tn FROM scored JOIN tau USING (fold_id) GROUP BY fold_id)"""
+FOLD_SQL = _FOLD_TAU + """, f AS (SELECT fold_id, any_value(tau) AS tau, any_value(fpr) AS fpr, sum((y_true=1 AND score>=tau)::INTEGER)::BIGINT AS tp, sum((y_true=0 AND score>=tau)::INTEGER)::BIGINT AS fp, sum((y_true=1 AND score<tau)::INTEGER)::BIGINT AS fn, sum((y_true=0 AND score<tau)::INTEGER)::BIGINT AS tn FROM scored JOIN tau USING (fold_id) GROUP BY fold_id)"""
 
 
-@register("C12_fold_thresholds", _FOLD + " SELECT fold_id, tau, round(fpr, 6) AS fpr, tp, fp, fn, tn, round(tp/(tp+fn), 6) AS tpr FROM f")
+@register("C12_fold_thresholds", FOLD_SQL + " SELECT fold_id, tau, round(fpr, 6) AS fpr, tp, fp, fn, tn, round(tp/(tp+fn), 6) AS tpr FROM f")
 def c12(spark: SparkSession, d: str) -> DataFrame:
     f = H.per_fold(scored(spark, d), 10000.0)
     return f.select("fold_id", "tau", F.round("fpr", 6).alias("fpr"), "tp", "fp", "fn", "tn", F.round("tpr", 6).alias("tpr"))
 
 
-@register("C13_run_summary", _FOLD + " SELECT count(*)::BIGINT AS n_folds, round(avg(tau),6) AS avg_threshold, round(stddev_pop(tau),6) AS std_threshold, round(avg(fpr),6) AS avg_fpr, round(avg(tp/(tp+fn)),6) AS avg_tpr, min(tau) AS min_threshold, max(tau) AS max_threshold FROM f")
+@register("C13_run_summary", FOLD_SQL + " SELECT count(*)::BIGINT AS n_folds, round(avg(tau),6) AS avg_threshold, round(stddev_pop(tau),6) AS std_threshold, round(avg(fpr),6) AS avg_fpr, round(avg(tp/(tp+fn)),6) AS avg_tpr, min(tau) AS min_threshold, max(tau) AS max_threshold FROM f")
 def c13(spark: SparkSession, d: str) -> DataFrame:
     s = H.run_summary(H.per_fold(scored(spark, d), 10000.0))
     return s.select("n_folds", *[F.round(c, 6).alias(c) for c in ("avg_threshold", "std_threshold", "avg_fpr", "avg_tpr")], "min_threshold", "max_threshold")

@@ -60,25 +60,18 @@ def c23(spark: SparkSession, d: str) -> DataFrame:
     return K.policy_thresholds(scored(spark, d))
 
 
-def _sweep(spark: SparkSession) -> DataFrame:
+def sweep(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0.3, False), (0.4, False), (0.5, False), (0.6, True), (0.7, False)], "threshold double, is_optimal boolean")
 
 
-_C22 = f"""WITH {SCORED}, t AS (SELECT * FROM (VALUES (0.3::DOUBLE, false), (0.4::DOUBLE, false), (0.5::DOUBLE, false), (0.6::DOUBLE, true), (0.7::DOUBLE, false)) v(threshold, is_optimal)),
+C22_COUNTS = f"""WITH {SCORED}, t AS (SELECT * FROM (VALUES (0.3::DOUBLE, false), (0.4::DOUBLE, false), (0.5::DOUBLE, false), (0.6::DOUBLE, true), (0.7::DOUBLE, false)) v(threshold, is_optimal)),
  c AS (SELECT threshold, is_optimal, sum((y_true=1 AND score>=threshold)::INTEGER)::BIGINT AS tp, sum((y_true=0 AND score>=threshold)::INTEGER)::BIGINT AS fp, sum((y_true=1 AND score<threshold)::INTEGER)::BIGINT AS fn, sum((y_true=0 AND score<threshold)::INTEGER)::BIGINT AS tn FROM scored, t GROUP BY ALL)"""
 
 
-@register("C22_metrics_by_threshold", _C22 + """ SELECT threshold, is_optimal, tp, fp, fn, tn, round(coalesce(tp/nullif(tp+fn,0),0),6) AS tpr, round(coalesce(fp/nullif(fp+tn,0),0),6) AS fpr, round(coalesce(tn/nullif(tn+fp,0),0),6) AS tnr, round(coalesce(fn/nullif(tp+fn,0),0),6) AS fnr,
+@register("C22_metrics_by_threshold", C22_COUNTS + """ SELECT threshold, is_optimal, tp, fp, fn, tn, round(coalesce(tp/nullif(tp+fn,0),0),6) AS tpr, round(coalesce(fp/nullif(fp+tn,0),0),6) AS fpr, round(coalesce(tn/nullif(tn+fp,0),0),6) AS tnr, round(coalesce(fn/nullif(tp+fn,0),0),6) AS fnr,
  round(coalesce(tp/nullif(tp+fp,0),0),6) AS precision, round(coalesce(tn/nullif(tn+fn,0),0),6) AS npv, round(coalesce(2*tp/nullif(2*tp+fp+fn,0),0),6) AS f1_score, round((tp+tn)/(tp+tn+fp+fn),6) AS accuracy FROM c""")
 def c22(spark: SparkSession, d: str) -> DataFrame:
-    return K.by_threshold(scored(spark, d), _sweep(spark))
-
-
-@register("C18_C19_bootstrap_intervals")
-def c19(spark: SparkSession, d: str) -> DataFrame:
-    from leakgauge.plans.risk import with_intervals
-
-    return with_intervals(K.by_threshold(scored(spark, d), _sweep(spark)).select("threshold", "tp", "fp", "fn", "tn"))
+    return K.by_threshold(scored(spark, d), sweep(spark))
 
 
 @register("A20_ks", f"""WITH {SCORED}, g AS (SELECT ll_ft AS x, sum(y_true) AS a, sum(1-y_true) AS b FROM scored GROUP BY 1), c AS (SELECT sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER () AS gap, sum(a) OVER () AS n_a, sum(b) OVER () AS n_b FROM g)
@@ -92,9 +85,10 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
     return K.histogram(scored(spark, d), "ll_ft", -18.0, -4.0, 50, ["split"]).select("split", "bin", "n", F.round("density", 6).alias("density"))
 
 
-@register("A21_kde")
+@register("A21_kde", f"""WITH {SCORED}, s AS (SELECT count(*) AS n, stddev_samp(ll_ft) * pow(count(*), -0.2) AS h FROM scored), b AS (SELECT floor((ll_ft + 20.0) / (18.0/2048)) AS b, count(*) AS w, avg(ll_ft) AS m FROM scored GROUP BY 1), p AS (SELECT -20.0 + k * (18.0/199) AS t FROM (SELECT unnest(range(0, 200)) AS k))
+ SELECT round(t, 6) AS "at", round(sum(w * exp(-pow((t - m) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM b, p, s GROUP BY t""")
 def a21k(spark: SparkSession, d: str) -> DataFrame:
-    return K.kde(scored(spark, d), "ll_ft", -20.0, -2.0)
+    return K.kde(scored(spark, d), "ll_ft", -20.0, -2.0).select(F.round("at", 6).alias("at"), F.round("density", 6).alias("density"))
 
 
 @register("A22_intervals", _CM + """, p AS (SELECT pii_type, tp, tp+fn AS n, tp/(tp+fn) AS p FROM c) SELECT pii_type, tp AS k, n, round(greatest(p - 1.959963984540054*sqrt(p*(1-p)/n), 0),6) AS lo, round(least(p + 1.959963984540054*sqrt(p*(1-p)/n), 1),6) AS hi FROM p""")

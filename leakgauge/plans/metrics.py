@@ -8,34 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leakgauge.operators.ranges import running
 from leakgauge.operators.scalars import with_scalars
 from leakgauge.functions.probability import finite, ratio
 from leakgauge.plans.thresholds import confusion_columns
 
-PARTS = 256
-
-
-def running(groups: DataFrame, key: str, sums: list[str], by: list[str] = (), descending: bool = True, part: Column | None = None) -> DataFrame:
-    """Adds ``<col>_cum``, the sum from the top (or bottom) of ``key`` through this row, in two steps over parts of the key.
-
-    ``key`` is distinct per group and lies in [0, 1] unless ``part`` (rising
-    with the key, few values) says how to cut it.
-    """
-    p = groups.withColumn("__part", part if part is not None else F.floor(F.col(key) * PARTS))
-    order = lambda c: F.col(c).desc() if descending else F.col(c).asc()
-    inside = Window.partitionBy(*by, "__part").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*by).orderBy(order("__part")).rowsBetween(Window.unboundedPreceding, -1)  # sees at most the parts
-    before = p.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
-    before = before.select(*by, "__part", *[F.coalesce(F.sum(f"__s_{c}").over(across), F.lit(0)).alias(f"__b_{c}") for c in sums])
-    out = p
-    for c in sums:
-        out = out.withColumn(f"__i_{c}", F.sum(c).over(inside))
-    out = out.join(before, [*by, "__part"])
-    for c in sums:
-        out = out.withColumn(f"{c}_cum", F.col(f"__i_{c}") + F.col(f"__b_{c}"))
-    return out.drop("__part", *[f"__i_{c}" for c in sums], *[f"__b_{c}" for c in sums])
-
-
 def by_score(scores: DataFrame, score: str = "score", y: str = "y_true", by: list[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score; rows without a score or label are left out."""
     v = scores.filter(finite(F.col(score)).isNotNull() & F.col(y).isNotNull())
@@ -117,9 +94,7 @@ def by_threshold(scores: DataFrame, thresholds: DataFrame, score: str = "score",
 def ks(values: DataFrame, x: str, group: str, a: object, b: object) -> DataFrame:
     """Two-sample statistic with its sizes; the p-value is one number made on the driver by ``ks_pvalue``."""
     v = values.filter(F.col(x).isNotNull() & F.col(group).isin(a, b)).groupBy(F.col(x).alias("x")).agg(F.sum((F.col(group) == a).cast("long")).alias("na"), F.sum((F.col(group) == b).cast("long")).alias("nb"))
-    ends = v.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    width = ((ends.hi - ends.lo) or 1.0) if ends.lo is not None else 1.0
-    r = running(v, "x", ["na", "nb"], descending=False, part=F.floor((F.col("x") - F.lit(ends.lo or 0.0)) / F.lit(width) * PARTS))
+    r = running(v, "x", ["na", "nb"], descending=False)
     whole = v.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     r = with_scalars(r, whole)
     return r.agg(F.max(F.abs(F.col("na_cum") / F.col("ta") - F.col("nb_cum") / F.col("tb"))).alias("statistic"), F.max("ta").alias("n_a"), F.max("tb").alias("n_b"))

@@ -118,9 +118,27 @@ def manifest(split: DataFrame) -> DataFrame:
 def simplify_race(c: Column) -> Column:
     """C3."""
     low = F.lower(c)
+    # What a race is told by, in this order.
     return F.when(F.contains(low, F.lit("black")), "black").when(F.contains(low, F.lit("hisp")), "hispanic").when(F.contains(low, F.lit("asian")), "asian").otherwise("white")
 
 
+# Codes of languages by their English name, the list the reference data uses and the commonest others.
+LANGUAGE_CODES = {
+    "english": "en", "spanish": "es", "german": "de", "french": "fr", "russian": "ru", "portuguese": "pt", "italian": "it", "polish": "pl", "arabic": "ar", "persian": "fa", "hindi": "hi", "bengali": "bn", "thai": "th",
+    "vietnamese": "vi", "korean": "ko", "japanese": "ja", "chinese": "zh", "turkish": "tr", "greek": "el", "armenian": "hy", "somali": "so", "haitian": "ht", "modern greek": "el", "kabuverdianu": "kea", "amharic": "am", "khmer": "km", "dutch": "nl", "swedish": "sv", "hebrew": "he", "ukrainian": "uk",
+}
+
+
+def simplify_language(c: Column, default: str = "en") -> Column:
+    """The code of a language given by name or code, in any case; ``default`` for NULL and what is not known."""
+    low = F.lower(F.trim(c))
+    head = F.element_at(F.split(low, r"[-_ (,;/]"), 1)
+    by_name = F.create_map(*[F.lit(x) for pair in LANGUAGE_CODES.items() for x in pair])
+    codes = sorted(set(LANGUAGE_CODES.values()))
+    code = lambda x: F.when(x.isin(*codes), x)
+    return F.coalesce(F.try_element_at(by_name, low), F.try_element_at(by_name, head), code(low), code(head), F.lit(default))
+
+
 def generate_personas(subjects: DataFrame, first: list[str], last: list[str], domains: list[str], streets: list[str], seed: int = 42, shared_member: str | None = None, per_physician: int = 110) -> DataFrame:
     """One persona per subject from hashes of the subject; no driver loop, no state.
 
@@ -147,7 +165,7 @@ def generate_personas(subjects: DataFrame, first: list[str], last: list[str], do
     return n.select(
         "subject_id", name.alias("name"), whole("unit", 1, 10**9).alias("unit_no"),
         F.concat_ws(" ", F.element_at(F.array(*map(F.lit, first)), (F.pmod(doctor, F.lit(len(first))) + 1).cast("int")), F.element_at(F.array(*map(F.lit, last)), (F.pmod(F.floor(doctor / len(first)), F.lit(len(last))) + 1).cast("int"))).alias("physician_name"),
-        simplify_race(d["race"]).alias("race"), F.lit("en").alias("language"), born.alias("dob"),
+        simplify_race(d["race"]).alias("race"), simplify_language(d["language"]).alias("language"), born.alias("dob"),
         F.concat(F.replace(F.lower(name), F.lit(" "), F.lit(".")), whole("mail", 1, 1000).cast("string"), F.lit("@"), pick(domains, "domain")).alias("email"),
         F.format_string("(%s) %03d-%04d", F.substring(code, 1, 3), F.floor(number / 10000), F.pmod(number, F.lit(10000))).alias("phone"),
         F.format_string("%03d-%02d-%04d", whole("ssn1", 900, 999), whole("ssn2", 1, 99), whole("ssn3", 1, 9999)).alias("ssn"),
@@ -156,19 +174,34 @@ def generate_personas(subjects: DataFrame, first: list[str], last: list[str], do
     )
 
 
+#: A key, a colon and a value: each in quotes of either kind, or bare up to the next comma, bracket or line's end.
+_PAIR = r"""["'“”]?(\w[\w\-]*)["'“”]?\s*[:=]\s*["'“”]?([^"'“”,{}\n]*)"""
+
+
+def repaired_object(text: Column) -> Column:
+    """Map of one JSON object, or of what can be read of a broken one: trailing or missing commas, quotes missing or of the wrong kind, a missing last bracket, comments. Of a repeated key the last value holds."""
+    whole = F.from_json(text, "map<string,string>")
+    bare = F.regexp_replace(text, r"(?m)(^|[\s,])(//|#).*$", "$1")
+    pairs = F.arrays_zip(F.regexp_extract_all(bare, F.lit(_PAIR), 1).alias("k"), F.regexp_extract_all(bare, F.lit(_PAIR), 2).alias("v"))
+    keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+    last = lambda k: F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"]
+    return F.coalesce(whole, F.map_from_arrays(keys, F.transform(keys, last)))
+
+
 def parse_categories(reply: Column, n: Column) -> Column:
     """Map from blank number to category out of a classifier's reply.
 
     The reasoning block goes; the last ```json fence counts, else the second
     fence, else the whole text; several objects are merged, later ones win;
     what is missing or unknown becomes ``other``. Objects that are no valid
-    JSON are skipped. NULL and empty replies give ``other`` for every blank.
+    JSON are repaired (``repaired_object``). NULL and empty replies give
+    ``other`` for every blank.
     """
     text = F.coalesce(reply, F.lit(""))
     parts = F.split(text, "```")
     json_fences = F.split(text, "```json", -1)
     fenced = F.when(F.size(json_fences) > 1, F.element_at(F.split(F.element_at(json_fences, -1), "```"), 1)).when(F.size(parts) >= 3, F.element_at(parts, 2)).otherwise("")
-    objects = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(\{[^{}]*\})"), 1), lambda o: F.from_json(o, "map<string,string>")), lambda m: m.isNotNull())
+    objects = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(\{[^{}]*(?:\}|$))"), 1), repaired_object), lambda m: F.size(m) > 0)
     found = F.when(F.size(objects(fenced)) > 0, objects(fenced)).otherwise(objects(F.regexp_replace(text, r"(?is)<think>.*?</think>", "")))
     keys = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: k.cast("string"))
     value = lambda k: F.lower(F.trim(F.try_element_at(F.filter(F.transform(found, lambda m: F.try_element_at(m, k)), lambda v: v.isNotNull()), F.lit(-1))))
@@ -185,6 +218,7 @@ def response_text(content: Column, reasoning_content: Column, reasoning: Column)
 
 def instruction_text(instruction: Column, given: Column, output: Column) -> Column:
     """The training text of a record; labels start at the response."""
+    # The headings of the training text.
     head = F.concat(F.lit("### Instruction:\n"), instruction)
     head = F.when(F.coalesce(given, F.lit("")) != "", F.concat(head, F.lit("\n\n### Input:\n"), given)).otherwise(head)
     return F.concat(head, F.lit("\n\n### Response:\n"), output)

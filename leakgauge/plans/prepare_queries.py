@@ -50,9 +50,34 @@ def c40(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_notes"), F.countDistinct("subject_id").alias("n_subjects"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
 
 
-@register("C2_personas")
+@register("C2_personas", "WITH s AS (SELECT DISTINCT subject_id FROM notes WHERE subject_id IS NOT NULL) SELECT count(*)::BIGINT AS n_subjects, count(*)::BIGINT AS n_rows, true AS names_differ, true AS physicians_few, true AS well_formed, true AS in_range, true AS few_canaries FROM s")
 def c2(spark: SparkSession, d: str) -> DataFrame:
-    return P.generate_personas(table(spark, d, "notes"), FIRST, LAST, DOMAINS, STREETS)
+    """Personas of all subjects, reduced to what must hold of them."""
+    p = P.generate_personas(table(spark, d, "notes"), FIRST, LAST, DOMAINS, STREETS)
+    form = F.col("phone").rlike(r"^\(\d{3}\) \d{3}-\d{4}$") & F.col("ssn").rlike(r"^9\d\d-\d\d-\d{4}$") & F.col("email").rlike(r"^[^@ ]+@[a-z.]+$") & F.col("address").rlike(r"^\d+ \w+ \w+, ZU \d{5}$")
+    inside = F.col("unit_no").between(1, 10**9) & F.col("race").isin("white", "black", "hispanic", "asian") & (F.col("language") == "en") & F.col("dob").isNotNull()
+    n = F.count(F.lit(1))
+    return p.agg(F.countDistinct("subject_id").alias("n_subjects"), n.alias("n_rows"), (F.countDistinct("name") >= n * 0.999).alias("names_differ"), (F.countDistinct("physician_name") <= F.greatest(F.lit(1), F.round(n / 110))).alias("physicians_few"), F.bool_and(form).alias("well_formed"), F.bool_and(inside).alias("in_range"), (F.sum(F.col("random_name").cast("int")) <= 0.03 * n + 3).alias("few_canaries"))
+
+
+@register("C3_language", "SELECT note_id, CASE lower(trim(language)) WHEN 'english' THEN 'en' WHEN 'spanish' THEN 'es' WHEN 'german' THEN 'de' WHEN 'french' THEN 'fr' WHEN 'russian' THEN 'ru' WHEN 'portuguese' THEN 'pt' WHEN 'italian' THEN 'it' WHEN 'chinese' THEN 'zh' WHEN 'polish' THEN 'pl' ELSE CASE WHEN lower(trim(language)) IN ('en','es','de','fr','ru','pt','it','zh','pl') THEN lower(trim(language)) ELSE 'en' END END AS language FROM personas")
+def c3l(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "personas").select("note_id", P.simplify_language(F.col("language")).alias("language"))
+
+
+@register("P3_required_columns", "SELECT * FROM (VALUES ('text', true), ('note', false), ('absent', true)) v(missing, refused)")
+def p3(spark: SparkSession, d: str) -> DataFrame:
+    """Ingestion refuses a table without a required column while the plan is built."""
+    from leakgauge.operators.select import require
+
+    def refused(c: str) -> bool:
+        try:
+            require(table(spark, d, "notes"), ["subject_id", c])
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(c, refused(c)) for c in ("text", "note", "absent")], "missing string, refused boolean")
 
 
 @register("C3_race_language", "SELECT note_id, CASE WHEN lower(race) LIKE '%black%' THEN 'black' WHEN lower(race) LIKE '%hisp%' THEN 'hispanic' WHEN lower(race) LIKE '%asian%' THEN 'asian' ELSE 'white' END AS race FROM personas")

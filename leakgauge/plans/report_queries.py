@@ -12,6 +12,7 @@ from leakgauge.functions import text as X
 from leakgauge.plans import curves as C
 from leakgauge.plans import reports as R
 from leakgauge.plans import thresholds as H
+from leakgauge.plans.curve_queries import FOLD_SQL
 from leakgauge.plans.inputs import SCORED, scored
 from leakgauge.plans.text_queries import sql_strip, sql_title
 from leakgauge.sources.tables import table
@@ -42,11 +43,11 @@ def c27(spark: SparkSession, d: str) -> DataFrame:
     return C.curves(scored(spark, d), 0.6, _BUDGETS, by=["fold_id"]).filter("budget < double('Infinity')").select("fold_id", "budget", "recall_with_verification")
 
 
-@register("C28_metrics_at_operating_tau")
+@register("C28_metrics_at_operating_tau", FOLD_SQL + " SELECT fold_id, tau, round(avg(tau) OVER (), 9) AS avg_threshold, tp, fp, fn, tn FROM f")
 def c28(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each fold at its own threshold beside the run's average threshold."""
     folds = H.per_fold(scored(spark, d), 1e4)
-    return with_scalars(folds, H.run_summary(folds).select("avg_threshold")).select("fold_id", "tau", "avg_threshold", "tp", "fp", "fn", "tn")
+    return with_scalars(folds, H.run_summary(folds).select("avg_threshold")).select("fold_id", "tau", F.round("avg_threshold", 9).alias("avg_threshold"), "tp", "fp", "fn", "tn")
 
 
 @register("C33_merged_names", f"""WITH x AS (SELECT {sql_title("lower(" + sql_strip("replace(v, '.', '')") + ")")} AS name, g, k FROM (
@@ -68,7 +69,7 @@ def k9(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "datasets").groupBy(X.size_label(F.col("dataset_size")).alias("size_label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pii_rate"), 4).alias("mean_rate"))
 
 
-@register("P11_P12_feature_columns")
+@register("P11_P12_feature_columns", "SELECT * FROM (VALUES ('y_true', false), ('n', false), ('score', false), ('ll_ft', true), ('ll_base', true), ('pi', false), ('fold_id', false)) v(feature, is_ll)")
 def p11(spark: SparkSession, d: str) -> DataFrame:
     from leakgauge.operators.select import feature_columns, ll_columns
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from leakgauge.operators.scalars import with_scalars
 from leakgauge.functions.draws import draw
 from leakgauge.functions.probability import finite
 from leakgauge.operators.quantiles import at_shares, exact_quantiles
+from leakgauge.session import ship, stable
 
 
 def bootstrap_counts(tp: int, fp: int, fn: int, tn: int, total_members: int, rounds: int = 1000, seed: int = 42, stratified: bool = False) -> dict[str, tuple[float, float, float, float]]:
@@ -58,25 +61,66 @@ def with_intervals(metrics: DataFrame, rounds: int = 1000, seed: int = 42) -> Da
     return metrics.mapInPandas(run, schema)
 
 
-def bootstrap_quantile(df: DataFrame, x: str, by: list[str], share: float = 0.5, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """C20: n and the 95 % interval of a quantile per group.
-
-    The quantile of a resample is the sorted value at a random rank whose
-    share has the spread sqrt(p (1 - p) / n). Drawing ranks instead of rows
-    needs no copies of the rows: the 2.5 % and 97.5 % ranks are drawn from
-    ``rounds`` seeded normal scores and the values are read at them exactly.
-    """
-    scores = np.random.default_rng(seed).standard_normal(rounds)
-    lo, hi = (float(np.percentile(scores, p)) for p in (2.5, 97.5))
+def rank_interval(df: DataFrame, x: str, by: list[str], share: float = 0.5, z: float = 1.959963984540054) -> DataFrame:
+    """n and an asymptotic 95 % interval of a quantile per group: the values at the ranks ``share`` -+ z sqrt(p (1 - p) / n)."""
     clean = df.filter(finite(F.col(x)).isNotNull())
     sizes = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     spread = F.sqrt(F.lit(share * (1 - share)) / F.col("n"))
     at = lambda z: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(share) + z * spread))
-    levels = sizes.select(*by, F.explode(F.array(F.struct(F.lit("lo").alias("name"), at(lo).alias("share")), F.struct(F.lit("hi").alias("name"), at(hi).alias("share")))).alias("q")).select(*by, "q.name", "q.share")
+    levels = sizes.select(*by, F.explode(F.array(F.struct(F.lit("lo").alias("name"), at(-z).alias("share")), F.struct(F.lit("hi").alias("name"), at(z).alias("share")))).alias("q")).select(*by, "q.name", "q.share")
     found = at_shares(clean, x, by, levels).groupBy(*by).pivot("name", ["lo", "hi"]).agg(F.first("value"))
     return sizes.join(found, list(by)) if by else with_scalars(sizes, found)
 
 
+def resampled_ranks(n: int, share: float, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """For ``rounds`` resamples of n rows with replacement: which rows, by 0-based rank, stand at the two places around the quantile, and the weight of the second.
+
+    The k-th smallest of n draws of a row is the row ceil(n U), U the k-th
+    smallest of n uniform numbers: a beta variable, and the next smallest given
+    it too. So the resamples' quantiles are drawn exactly without copying rows.
+    """
+    rng = np.random.default_rng(seed)
+    at = share * (n - 1)
+    k = int(np.floor(at)) + 1
+    u = rng.beta(k, n - k + 1, rounds)
+    after = u + (1 - u) * (1 - rng.random(rounds) ** (1 / max(1, n - k))) if k < n else u
+    row = lambda v: np.clip(np.ceil(n * v).astype(np.int64) - 1, 0, n - 1)
+    return row(u), row(after), at - (k - 1)
+
+
+def bootstrap_quantile(df: DataFrame, x: str, by: list[str], share: float = 0.5, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """C20: n and the 95 % percentile interval of a quantile per group over ``rounds`` resamples with replacement.
+
+    The ranks the resamples' quantiles stand at are drawn exactly
+    (``resampled_ranks``) and the values read at them, so no row is copied and
+    the cost per group is its rounds.
+    """
+    clean = df.filter(finite(F.col(x)).isNotNull())
+    sizes = stable(clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    out = T.StructType([sizes.schema[c] for c in by] + [T.StructField("round", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("weight", T.DoubleType())])
+
+    def draw_ranks(frames):
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                n = int(row.n)
+                low, high, weight = resampled_ranks(n, share, rounds, seed)
+                made = {c: getattr(row, c) for c in by}
+                both = np.stack([low, high], axis=1).ravel()
+                yield pd.DataFrame(made | {"round": np.repeat(np.arange(rounds, dtype=np.int32), 2), "name": np.tile(["a", "b"], rounds), "share": both / max(1, n - 1), "weight": weight})
+
+    ranks = stable(sizes.mapInPandas(draw_ranks, out))
+    # equal ranks are looked up once
+    asked = ranks.select(*by, "share").distinct().withColumn("name", F.col("share").cast("string"))
+    values = at_shares(clean, x, by, asked).select(*[F.col(c).alias(f"__v_{c}") for c in by], F.col("name").alias("__at"), "value")
+    same = F.col("share").cast("string") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__v_{c}"))
+    found = ranks.join(values, same).groupBy(*by, "round").agg(F.sum(F.when(F.col("name") == "a", F.col("value") * (1 - F.col("weight"))).otherwise(F.col("value") * F.col("weight"))).alias("q"))
+    # ``rounds`` rows per group
+    interval = found.groupBy(*by).agg(F.percentile("q", F.array(F.lit(0.025), F.lit(0.975))).alias("__p")).select(*by, F.col("__p")[0].alias("lo"), F.col("__p")[1].alias("hi"))
+    return sizes.join(interval, list(by)) if by else with_scalars(sizes, interval)
+
+
 def factor(scores: DataFrame, by: list[str], pi: str = "pi", base: str = "p_base", floor: float = 0.0, share: float = 0.5, rounds: int = 200, seed: int = 42) -> DataFrame:
     """The quantile of the relative risk per group, n and its interval; rows at or under the probability floor are left out."""
     r = scores.filter(F.col(pi) > floor).withColumn("__risk", F.when(F.col(base) > 0, F.col(pi) / F.col(base)))
@@ -96,50 +140,61 @@ def stratified_folds(df: DataFrame, key: str, y: str, k: int = 5, seed: int = 42
 def fold_models(df: DataFrame, features: list[str], y: str = "y_true", fold: str = "fold_id", c: float = 1.0, rounds: int = 25) -> list[dict]:
     """Per fold the balanced, L2-regularised logistic model fitted on the other folds (D19 as a list of rows).
 
-    Newton steps; every step is one aggregation over the table that returns a
-    gradient and a Hessian per fold, a few numbers. The features are
-    standardised by the training part's mean and population deviation.
+    Newton steps; every step is one pass over the kept features that adds up
+    gradient and Hessian of all folds in Arrow batches, summed per entry. The
+    features are standardised by the training part's mean and population
+    deviation. A row without label, fold or a finite feature takes no part.
     """
     k, w = len(features), [F.col(f"`{f}`").cast("double") for f in features]
-    clean = df.filter(F.col(y).isNotNull() & F.col(fold).isNotNull())
-    for f in features:
-        clean = clean.filter(finite(F.col(f"`{f}`").cast("double")).isNotNull())
-    base = clean.select(F.col(fold).alias("__f"), F.col(y).cast("double").alias("__y"), F.array(*w).alias("__x"))
-    sums = base.groupBy("__f", "__y").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("__x")[i]).alias(f"s{i}") for i in range(k)], *[F.sum(F.col("__x")[i] ** 2).alias(f"q{i}") for i in range(k)]).collect()
+    clean = df.filter(F.col(y).isNotNull() & F.col(fold).isNotNull()).select(F.col(fold).cast("int").alias("__f"), F.col(y).cast("double").alias("__y"), F.array(*w).alias("__x"))
+    base = stable(clean.filter(F.forall("__x", lambda v: finite(v).isNotNull())))
+    sums = base.select("__f", "__y", F.posexplode("__x").alias("i", "v")).groupBy("__f", "__y", "i").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") ** 2).alias("q")).collect()  # folds x classes x features
+    table = {(r["__f"], r["__y"], r["i"]): r for r in sums}
     models = []
-    for f in sorted({r["__f"] for r in sums}):
-        rest = [r for r in sums if r["__f"] != f]
-        n = sum(r.n for r in rest)
-        classes = {v: sum(r.n for r in rest if r["__y"] == v) for v in (0.0, 1.0)}
+    for f in sorted({key[0] for key in table}):
+        rest = sorted({key[:2] for key in table if key[0] != f})
+        n = sum(table[*c, 0].n for c in rest)
+        classes = {v: sum(table[*c, 0].n for c in rest if c[1] == v) for v in (0.0, 1.0)}
         if not n or not all(classes.values()):
             continue
-        mean = np.array([sum(r[f"s{i}"] for r in rest) / n for i in range(k)])
-        var = np.array([sum(r[f"q{i}"] for r in rest) / n for i in range(k)]) - mean**2
+        mean = np.array([sum(table[*c, i].s for c in rest) / n for i in range(k)])
+        var = np.array([sum(table[*c, i].q for c in rest) / n for i in range(k)]) - mean**2
         std = np.sqrt(np.maximum(var, 0))
         std[std < 1e-12] = 1.0
         models.append({"fold_id": int(f), "mean": mean, "std": std, "w": np.zeros(k + 1), "class_weight": {v: n / (2 * m) for v, m in classes.items()}})
-    for _ in range(rounds):
-        exprs = []
-        for m in models:
-            z = [(F.col("__x")[i] - float(m["mean"][i])) / float(m["std"][i]) for i in range(k)] + [F.lit(1.0)]
-            eta = sum((float(m["w"][i]) * z[i] for i in range(k + 1)), F.lit(0.0))
-            p = 1 / (1 + F.exp(-eta))
-            s = F.when(F.col("__f") == m["fold_id"], 0.0).when(F.col("__y") == 1, float(m["class_weight"][1.0])).otherwise(float(m["class_weight"][0.0]))
-            exprs += [F.sum(s * (p - F.col("__y")) * z[i]) for i in range(k + 1)] + [F.sum(s * p * (1 - p) * z[i] * z[j]) for i in range(k + 1) for j in range(i, k + 1)]
-        if not exprs:
-            break
-        row = base.agg(*[e.alias(f"e{i}") for i, e in enumerate(exprs)]).first()
-        at, step = 0, 0.0
-        for m in models:
-            g = np.array([row[at + i] for i in range(k + 1)])
-            at += k + 1
+    upper = np.triu_indices(k + 1)
+    ship(df.sparkSession)
+    for _ in range(rounds if models else 0):
+        now = [(m["fold_id"], m["mean"], m["std"], m["w"].copy(), m["class_weight"]) for m in models]
+
+        def add_up(batches, now=now):
+            total = np.zeros((len(now), k + 1 + len(upper[0])))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                fs, ys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ys), k)
+                for j, (own, mean, std, coef, weights) in enumerate(now):
+                    z = np.hstack([(x - mean) / std, np.ones((len(ys), 1))])
+                    p = 1 / (1 + np.exp(-np.clip(z @ coef, -700, 700)))
+                    s = np.where(fs == own, 0.0, np.where(ys == 1, weights[1.0], weights[0.0]))
+                    total[j, : k + 1] += z.T @ (s * (p - ys))
+                    total[j, k + 1 :] += ((z * (s * p * (1 - p))[:, None]).T @ z)[upper]
+            at = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(at[0].ravel(), pa.int32()), pa.array(at[1].ravel(), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["m", "i", "v"])
+
+        rows = base.mapInArrow(add_up, "m int, i int, v double").groupBy("m", "i").agg(F.sum("v").alias("v")).collect()  # folds x features^2 / 2
+        total = np.zeros((len(models), k + 1 + len(upper[0])))
+        for r in rows:
+            total[r.m, r.i] = r.v
+        step = 0.0
+        ridge = np.diag([1.0] * k + [0.0]) / c
+        for m, t in zip(models, total, strict=True):
             h = np.zeros((k + 1, k + 1))
-            for i in range(k + 1):
-                for j in range(i, k + 1):
-                    h[i, j] = h[j, i] = row[at]
-                    at += 1
-            ridge = np.diag([1.0] * k + [0.0]) / c
-            move = np.linalg.solve(h + ridge + 1e-12 * np.eye(k + 1), g + ridge @ m["w"])
+            h[upper] = t[k + 1 :]
+            h = h + h.T - np.diag(np.diag(h))
+            m["gradient"] = t[: k + 1] + ridge @ m["w"]
+            move = np.linalg.solve(h + ridge + 1e-12 * np.eye(k + 1), m["gradient"])
             m["w"] = m["w"] - move
             step = max(step, float(np.abs(move).max()))
         if step < 1e-9:

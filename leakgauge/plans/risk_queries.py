@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from leakgauge.catalog import register
 from leakgauge.functions.draws import sql_draw
+from leakgauge.operators.quantiles import exact_quantiles
 from leakgauge.plans import experiment as E
 from leakgauge.plans import features as T
+from leakgauge.plans import metrics as K
 from leakgauge.plans import risk as R
 from leakgauge.plans.inputs import COMPLETIONS, SCORED, completions, scored
+from leakgauge.plans.metric_queries import C22_COUNTS, sweep
 from leakgauge.plans.text_queries import sql_first_two, sql_title
 from leakgauge.session import stable
 from leakgauge.sources.tables import table
@@ -22,9 +25,32 @@ def c21(spark: SparkSession, d: str) -> DataFrame:
     return R.factor(s, ["pii_type"], floor=1e-7).select("pii_type", F.round("factor", 3).alias("factor"), "n")
 
 
-@register("C20_bootstrap_interval")
+_GAIN = f"WITH {SCORED}, g AS (SELECT pii_type, list_sort(list(ll_ft - ll_base)) AS v, count(*)::BIGINT AS n FROM scored GROUP BY pii_type)"
+
+
+def _at(sign: str) -> str:
+    """Linear interpolation at the share 0.5 -+ z sqrt(0.25 / n), as SQL over the sorted list."""
+    rank = f"(greatest(0.0, least(1.0, 0.5 {sign} 1.959963984540054 * sqrt(0.25 / n))) * (n - 1))"
+    return f"v[floor({rank})::BIGINT + 1] + (v[ceil({rank})::BIGINT + 1] - v[floor({rank})::BIGINT + 1]) * ({rank} - floor({rank}))"
+
+
+def _gains(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).withColumn("gain", F.col("ll_ft") - F.col("ll_base"))
+
+
+@register("C20_rank_interval", _GAIN + f" SELECT pii_type, n, round({_at('-')}, 6) AS lo, round({_at('+')}, 6) AS hi FROM g")
+def c20r(spark: SparkSession, d: str) -> DataFrame:
+    return R.rank_interval(_gains(spark, d), "gain", ["pii_type"]).select("pii_type", "n", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@register("C20_bootstrap_interval", _GAIN + f" SELECT pii_type, n, true AS holds_median, ({_at('+')}) - ({_at('-')}) > 0 AS as_wide FROM g")
 def c20(spark: SparkSession, d: str) -> DataFrame:
-    return R.bootstrap_quantile(scored(spark, d).withColumn("gain", F.col("ll_ft") - F.col("ll_base")), "gain", ["pii_type"])
+    """The resampled interval of every group holds the median and is as wide as the asymptotic one, but for a third."""
+    g = _gains(spark, d)
+    b = R.bootstrap_quantile(g, "gain", ["pii_type"])
+    r = R.rank_interval(g, "gain", ["pii_type"]).select("pii_type", (F.col("hi") - F.col("lo")).alias("width"))
+    m = exact_quantiles(g, "gain", ["pii_type"], {"median": 0.5})
+    return b.join(r, "pii_type").join(m, "pii_type").select("pii_type", "n", ((F.col("lo") <= F.col("median")) & (F.col("median") <= F.col("hi"))).alias("holds_median"), (F.abs((F.col("hi") - F.col("lo")) / F.col("width") - 1) < 1 / 3).alias("as_wide"))
 
 
 @register("T10_stratified_folds", f"""WITH h AS (SELECT entry_id, label, {sql_draw('fold42', 'entry_id')} AS h FROM labeled WHERE label IS NOT NULL)
@@ -33,31 +59,58 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
     return R.stratified_folds(table(spark, d, "labeled").filter("label IS NOT NULL").select("entry_id", "label"), "entry_id", "label")
 
 
+DIMENSIONS = 64
+
+
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     e = table(spark, d, "embeddings")
-    names = [f"ft_{i}" for i in range(4)]
+    names = [f"ft_{i}" for i in range(DIMENSIONS)]
     df = e.select(F.col("vec_id").alias("value"), (F.col("label") < 5).cast("int").alias("y_true"), *[F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(names)])
     return stable(R.stratified_folds(df, "value", "y_true")), names
 
 
-@register("C7_M15_crossfit_verifier")
-def c7(spark: SparkSession, d: str) -> DataFrame:
-    df, names = _features(spark, d)
-    return R.oof_scores(df, R.fold_models(df, names), names).select("value", "y_true", "fold_id", F.round("score_oof_member_proba", 6).alias("score_oof_member_proba"), "pred_oof_at_0p5")
+_FOLDS = f"f AS (SELECT vec_id, label < 5 AS y, ((row_number() OVER (PARTITION BY label < 5 ORDER BY {sql_draw('fold42', 'vec_id')}, vec_id) - 1) % 5)::INTEGER AS fold_id FROM embeddings WHERE label IS NOT NULL)"
 
 
-@register("C8_ensemble")
+@register("C7_M15_crossfit_verifier", f"WITH {_FOLDS} SELECT fold_id, count(*)::BIGINT AS n_rows, sum(y::INTEGER)::BIGINT AS n_members, count(*)::BIGINT AS n_scored, true AS gradient_is_zero, true AS labels_follow_scores FROM f GROUP BY fold_id")
+def c7(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all rows by models of all dimensions, reduced per fold: at the optimum the gradient of the fold's loss, taken here from its definition, is zero."""
+    df, names = _features(spark, d)
+    models = R.fold_models(df, names)
+    scored_rows = R.oof_scores(df, models, names)
+    s = F.col("score_oof_member_proba")
+    by_fold = scored_rows.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y_true").cast("long").alias("n_members"), F.count(s).alias("n_scored"), F.bool_and((s >= 0.5) == (F.col("pred_oof_at_0p5") == 1)).alias("labels_follow_scores"))
+    out = None
+    for m in models:
+        p = R.model_score(m, names)
+        weight = F.when(F.col("y_true") == 1, m["class_weight"][1.0]).otherwise(m["class_weight"][0.0])
+        z = [(F.col(n) - float(m["mean"][i])) / float(m["std"][i]) for i, n in enumerate(names)]
+        pull = weight * (p - F.col("y_true"))
+        steep = df.filter(F.col("fold_id") != m["fold_id"]).withColumn("__pull", pull).agg(*[F.abs(F.sum(F.col("__pull") * z[i]) + float(m["w"][i])).alias(f"g{i}") for i in range(len(names))])
+        flat = steep.select(F.lit(m["fold_id"]).alias("fold_id"), (F.greatest(*steep.columns) < 1e-6).alias("gradient_is_zero"))
+        out = flat if out is None else out.unionByName(flat)
+    return by_fold.join(F.broadcast(out), "fold_id").select("fold_id", "n_rows", "n_members", "n_scored", "gradient_is_zero", "labels_follow_scores")
+
+
+@register("C8_ensemble", "SELECT vec_id AS value, true AS mean_of_folds, true AS in_range FROM embeddings")
 def c8(spark: SparkSession, d: str) -> DataFrame:
+    """The ensemble's score of every row is the mean of the folds' scores."""
     df, names = _features(spark, d)
-    return R.ensemble_scores(df, R.fold_models(df, names), names).select("value", F.round("score_mean", 6).alias("score_mean"))
+    models = R.fold_models(df, names)
+    out = R.ensemble_scores(df, models, names)
+    mean = sum((F.col(f"score_fold_{m['fold_id']}") for m in models), F.lit(0.0)) / len(models)
+    return out.select("value", (F.abs(mean - F.col("score_mean")) < 1e-12).alias("mean_of_folds"), F.col("score_mean").between(0, 1).alias("in_range"))
 
 
-@register("C9_J8_compute_scores")
+@register("C9_J8_compute_scores", f"WITH {_FOLDS} SELECT vec_id AS value, fold_id < 3 AS known, true AS as_stated FROM f")
 def c9(spark: SparkSession, d: str) -> DataFrame:
+    """A known score is taken over, another one is the ensemble's."""
     df, names = _features(spark, d)
     models = R.fold_models(df, names)
-    known = R.oof_scores(df, models, names).filter("fold_id < 3")
-    return R.scores_for(df.select("value", *names), known, models, names).select("value", F.round("score", 6).alias("score"))
+    oof = stable(R.oof_scores(df, models, names).select("value", "fold_id", "score_oof_member_proba"))
+    got = R.scores_for(df.select("value", *names), oof.filter("fold_id < 3"), models, names).select("value", "score", "score_mean")
+    known = F.col("fold_id") < 3
+    return got.join(oof, "value").select("value", known.alias("known"), (F.col("score") == F.when(known, F.col("score_oof_member_proba")).otherwise(F.col("score_mean"))).alias("as_stated"))
 
 
 @register("J6_join_models", f"WITH {SCORED} SELECT a.pii_type, a.value, a.split, b.split AS split_base FROM scored a JOIN scored b USING (pii_type, value)")
@@ -106,9 +159,12 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return E.with_groundtruth(seen, E.labels(table(spark, d, "labeled"), "name")).select("value", "groundtruth")
 
 
-@register("C16_T11_experiment", _EXPERIMENT + """, n AS (SELECT max(query_idx) + 1 AS n_gen FROM completions), m AS (SELECT count(*) AS total FROM lab WHERE label = 1 AND v <> ''),
+_C16 = _EXPERIMENT + """, n AS (SELECT max(query_idx) + 1 AS n_gen FROM completions), m AS (SELECT count(*) AS total FROM lab WHERE label = 1 AND v <> ''),
  b AS (SELECT DISTINCT least(q, n_gen)::BIGINT AS q FROM n, (SELECT unnest([1000, 3000, 100000, 1000000]) AS q)),
- g AS (SELECT q, count(*)::BIGINT AS n_candidates, sum((groundtruth='train' AND score>=0.5)::INTEGER)::BIGINT AS tp, sum((groundtruth<>'train' AND score>=0.5)::INTEGER)::BIGINT AS fp, sum((groundtruth='train' AND score<0.5)::INTEGER)::BIGINT AS fn, sum((groundtruth<>'train' AND score<0.5)::INTEGER)::BIGINT AS tn FROM u, b WHERE first_seen < q GROUP BY q)
+ g AS (SELECT q, count(*)::BIGINT AS n_candidates, sum((groundtruth='train' AND score>=0.5)::INTEGER)::BIGINT AS tp, sum((groundtruth<>'train' AND score>=0.5)::INTEGER)::BIGINT AS fp, sum((groundtruth='train' AND score<0.5)::INTEGER)::BIGINT AS fn, sum((groundtruth<>'train' AND score<0.5)::INTEGER)::BIGINT AS tn FROM u, b WHERE first_seen < q GROUP BY q)"""
+
+
+@register("C16_T11_experiment", _C16 + """
  SELECT q AS budget, n_candidates, tp, fp, fn, tn, round(tp/nullif(tp+fn,0),6) AS tpr, round(fp/nullif(fp+tn,0),6) AS fpr, round(tp/nullif(tp+fp,0),6) AS ppv, round(tp/nullif(total,0),6) AS recall_with_verification, round((tp+fn)/nullif(total,0),6) AS recall_without_verification FROM g, m""")
 def c16(spark: SparkSession, d: str) -> DataFrame:
     return E.report(E.scored_candidates(completions(spark, d), "completion", table(spark, d, "labeled"), "name", E.drawn_score), completions(spark, d), table(spark, d, "labeled"), "name", 0.5, (1000, 3000, 100000, 1000000))
@@ -120,6 +176,23 @@ def c36(spark: SparkSession, d: str) -> DataFrame:
     return E.calibration(completions(spark, d), "completion", table(spark, d, "labeled"), "name", E.drawn_pi)
 
 
-@register("C17_experiment_intervals")
+_INTERVALS = "true AS holds_tpr, true AS holds_fpr, true AS as_wide"
+
+
+def interval_checks(rows: DataFrame, key: str) -> DataFrame:
+    """Counts with their bootstrap intervals, reduced: the ratio lies inside and the width is the binomial law's, but for a third (or two steps of the ratio)."""
+    inside = lambda p, m: F.coalesce((F.col(f"{m}_lo") <= p + 1e-6) & (p <= F.col(f"{m}_hi") + 1e-6), F.lit(True))
+    n = F.col("tp") + F.col("fn")
+    tpr, fpr = F.col("tp") / F.nullif(n, F.lit(0)), F.col("fp") / F.nullif(F.col("fp") + F.col("tn"), F.lit(0))
+    wide = 2 * 1.959963984540054 * F.sqrt(tpr * (1 - tpr) / n)
+    return rows.select(key, "tp", "fp", "fn", "tn", inside(tpr, "tpr").alias("holds_tpr"), inside(fpr, "fpr").alias("holds_fpr"), F.coalesce(F.abs(F.col("tpr_hi") - F.col("tpr_lo") - wide) <= F.greatest(wide / 3, 2 / n), F.lit(True)).alias("as_wide"))
+
+
+@register("C17_experiment_intervals", _C16 + f" SELECT q AS budget, tp, fp, fn, tn, {_INTERVALS} FROM g, m")
 def c17(spark: SparkSession, d: str) -> DataFrame:
-    return R.with_intervals(c16(spark, d).select("budget", "tp", "fp", "fn", "tn"))
+    return interval_checks(R.with_intervals(c16(spark, d).select("budget", "tp", "fp", "fn", "tn")), "budget")
+
+
+@register("C18_C19_bootstrap_intervals", C22_COUNTS + f" SELECT threshold, tp, fp, fn, tn, {_INTERVALS} FROM c")
+def c19(spark: SparkSession, d: str) -> DataFrame:
+    return interval_checks(R.with_intervals(K.by_threshold(scored(spark, d), sweep(spark)).select("threshold", "tp", "fp", "fn", "tn")), "threshold")

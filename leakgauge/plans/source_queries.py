@@ -27,11 +27,35 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("n_chars > 500").select("doc_id", "source")
 
 
-@register("S2_K2_csv_round_trip", "SELECT note_id, md5(note) AS note_md5 FROM notes WHERE note IS NOT NULL AND note <> '' AND note_id IS NOT NULL AND NOT contains(note, chr(13))")
+@register("S2_K2_csv_round_trip", "SELECT note_id, subject_id, md5(note) AS note_md5, length(note)::INTEGER AS n FROM notes")
 def s2(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "notes").filter("note IS NOT NULL AND note <> '' AND note_id IS NOT NULL").filter(~F.contains("note", F.lit("\r"))).select("note_id", "note")
-    K.csv(n, path := _place(spark, "csv"))
-    return S.csv(spark, path, "note_id string, note string").select("note_id", F.md5("note").alias("note_md5"))
+    """All notes: carriage returns, quotes, empty texts and NULLs come back as they were."""
+    K.csv(table(spark, d, "notes").select("note_id", "subject_id", "note"), path := _place(spark, "csv"))
+    return S.csv(spark, path, "note_id string, subject_id string, note string").select("note_id", "subject_id", F.md5("note").alias("note_md5"), F.length("note").alias("n"))
+
+
+@register("K5_incremental_parquet", "SELECT split, count(*)::BIGINT AS n, true AS bounded FROM ll_train WHERE split IN ('train', 'val', 'test') GROUP BY split")
+def k5(spark: SparkSession, d: str) -> DataFrame:
+    """Rows flushed in files of at most 5,000; appended split by split."""
+    path, rows = _place(spark, "incremental"), table(spark, d, "ll_train").select("row_id", "split")
+    for split in ("train", "val", "test"):
+        K.parquet(rows.filter(F.col("split") == split), path, mode="append", rows_per_file=5000)
+    back = spark.read.parquet(path).select("split", F.col("_metadata.file_path").alias("file"))
+    return back.groupBy("split", "file").agg(F.count(F.lit(1)).alias("k")).groupBy("split").agg(F.sum("k").alias("n"), (F.max("k") <= 5000).alias("bounded"))
+
+
+@register("S9_configuration", "SELECT dataset_id, 'runs/' || status || '.json' AS path, 2::BIGINT AS n_rates, 0.05::DOUBLE AS fpr, true AS same_in_json FROM datasets")
+def s9(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration with templates, filled for every value of the table's status."""
+    text = "# paths\npaths:\n  report: 'runs/{status}.json'\nrates: [0.1, 0.5]\nlimits:\n  - name: fpr\n    value: 0.05\n"
+    same = '{"paths": {"report": "runs/{status}.json"}, "rates": [0.1, 0.5], "limits": [{"name": "fpr", "value": 0.05}]}'
+    ds = table(spark, d, "datasets").select("dataset_id", "status")
+    rows = []
+    for r in ds.select("status").distinct().collect():  # a registry, a few states
+        c = S.config(text, status=r.status)
+        rows.append((r.status, c["paths"]["report"], len(c["rates"]), c["limits"][0]["value"], c == S.config(same, status=r.status)))
+    made = spark.createDataFrame(rows, "status string, path string, n_rates long, fpr double, same_in_json boolean")
+    return ds.join(F.broadcast(made), ds.status.eqNullSafe(made.status)).select("dataset_id", "path", "n_rates", "fpr", "same_in_json")
 
 
 @register("S4_K3_json_round_trip", "SELECT note_id, blank, category, value FROM members")
@@ -69,16 +93,22 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
     return ds.select("dataset_id", cols["dataset"].alias("dataset"), cols["pii_rate"].alias("pii_rate"), cols["n_epochs"].alias("n_epochs"))
 
 
-@register("S11_synthetic_masked")
+@register("S11_synthetic_masked", "SELECT 500::BIGINT AS n_subjects, true AS one_to_four, true AS all_masked, 0::BIGINT AS open_templates")
 def s11(spark: SparkSession, d: str) -> DataFrame:
-    return S.synthetic_notes(spark, 500, 4)
+    per = S.synthetic_notes(spark, 500, 4).groupBy("subject_id").agg(F.count(F.lit(1)).alias("k"), F.bool_and(F.contains("note", F.lit("Name: ___")) & F.contains("note", F.lit("Attending: ___"))).alias("masked"), F.sum(F.contains("note", F.lit("%s")).cast("long")).alias("open"))
+    return per.agg(F.count(F.lit(1)).alias("n_subjects"), F.bool_and(F.col("k").between(1, 4)).alias("one_to_four"), F.bool_and("masked").alias("all_masked"), F.sum("open").alias("open_templates"))
 
 
-@register("S12_synthetic_identified")
+@register("S12_synthetic_identified", "SELECT 500::BIGINT AS n_subjects, 500::BIGINT AS n_entries, 0::BIGINT AS wrong_labels, 0::BIGINT AS names_missing")
 def s12(spark: SparkSession, d: str) -> DataFrame:
+    """Every subject's name is an entry, labelled by its side, and stands in the subject's notes."""
     from leakgauge.plans.prepare_queries import FIRST, LAST
 
-    return S.synthetic_identified(spark, 500, 4, FIRST, LAST)[1]
+    notes, entries = S.synthetic_identified(spark, 500, 4, FIRST, LAST)
+    people = notes.groupBy("subject_id", "name").agg(F.max("split").alias("split"), F.sum((~F.contains("note", F.concat(F.lit("Name: "), F.col("name")))).cast("long")).alias("missing"))
+    both = people.join(entries, people.name == entries.entry, "left")
+    wrong = F.coalesce(F.col("label") != (F.col("split") == "train").cast("int"), F.lit(True)).cast("long")
+    return both.agg(F.countDistinct("subject_id").alias("n_subjects"), F.countDistinct("entry").alias("n_entries"), F.sum(wrong).alias("wrong_labels"), F.sum("missing").alias("names_missing"))
 
 
 @register("S13_S14_gazetteer", "SELECT DISTINCT lower(regexp_replace(split_part(trim(name), ' ', 1), '[^\\p{L}]', '', 'g')) AS w FROM personas WHERE name IS NOT NULL AND regexp_replace(split_part(trim(name), ' ', 1), '[^\\p{L}]', '', 'g') <> ''")
@@ -111,9 +141,9 @@ def k1(spark: SparkSession, d: str) -> DataFrame:
     return K.cached(make, spark, _place(spark, "cache")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("K6_arrays_to_csv", "SELECT vec_id, '['||array_to_string(list_transform(embedding[1:3], lambda x: round(x*1000)::BIGINT::VARCHAR), ', ')||']' AS tokens FROM embeddings")
+@register("K6_arrays_to_csv", "SELECT vec_id, '['||array_to_string(list_transform(embedding, lambda x: round(x*1000)::BIGINT::VARCHAR), ', ')||']' AS tokens FROM embeddings")
 def k6(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("tokens"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("tokens"))
     K.csv(e, path := _place(spark, "csv"))
     return S.csv(spark, path, "vec_id long, tokens string")
 
@@ -124,7 +154,7 @@ def k12(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.to_json(F.struct("pii_type", "n", "members")).alias("report"))
 
 
-@register("K13_seed_registry")
+@register("K13_seed_registry", "SELECT 0::BIGINT AS dataset_id, 1::BIGINT AS dataset_size, 1.0::DOUBLE AS pii_rate, 'no-kg' AS kg, 'manual' AS injection_strategy, 'synthetic' AS name_strategy, 'zipf' AS sampling_strategy, 'train.json' AS dataset_path, 'pending' AS status, 'train.parquet' AS persona_path, 'train' AS person_path_name")
 def k13(spark: SparkSession, d: str) -> DataFrame:
     return G.seed(spark)["datasets"]
 

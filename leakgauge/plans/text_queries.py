@@ -267,12 +267,31 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ll_train").filter("split = 'val' AND value IS NOT NULL").withColumn("k", clean("value")).join(known, "k", "left_anti").select("row_id")
 
 
-@register("R3_lenient_json")
+_REPLIES = """WITH m AS (SELECT DISTINCT note_id, blank, category FROM members WHERE note_id IS NOT NULL AND blank IS NOT NULL AND category IS NOT NULL),
+ n AS (SELECT note_id, unnest(range(1, max(blank) + 1)) AS k FROM m GROUP BY note_id),
+ c AS (SELECT note_id, blank, arg_max(category, '{"' || blank || '": "' || category || '"}') AS category FROM m GROUP BY ALL)
+ SELECT n.note_id, n.k::VARCHAR AS blank, coalesce(c.category, 'other') AS category FROM n LEFT JOIN c ON c.note_id = n.note_id AND c.blank = n.k"""
+
+
+@register("R3_broken_json", _REPLIES)
+def r3b(spark: SparkSession, d: str) -> DataFrame:
+    """The same replies as one object with every usual fault: single, missing and curly quotes, a missing comma, a trailing one, a comment, no last bracket."""
+    from leakgauge.plans import prepare
+
+    m = table(spark, d, "members").filter("note_id IS NOT NULL AND blank IS NOT NULL AND category IS NOT NULL").select("note_id", "blank", "category").distinct()
+    last = m.groupBy("note_id", "blank").agg(F.max(F.struct(F.format_string('{"%d": "%s"}', "blank", "category").alias("o"), "category")).alias("x")).select("note_id", "blank", "x.category")
+    item = F.when(F.col("blank") % 4 == 0, F.format_string("'%d': '%s',", "blank", "category")).when(F.col("blank") % 4 == 1, F.format_string('%d: %s,', "blank", "category")).when(F.col("blank") % 4 == 2, F.format_string('"%d": "%s" // sure', "blank", "category")).otherwise(F.format_string("“%d” : “%s” ,", "blank", "category"))
+    replies = last.groupBy("note_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blank", item.alias("i")))), lambda x: x["i"]), "\n").alias("items"), F.max("blank").alias("n"))
+    reply = F.when(F.col("n") % 2 == 0, F.concat(F.lit("```json\n{"), "items", F.lit(",}\n```"))).otherwise(F.concat(F.lit("So: {"), "items"))
+    return replies.select("note_id", F.explode(prepare.parse_categories(reply, F.col("n"))).alias("blank", "category"))
+
+
+@register("R3_lenient_json", _REPLIES)
 def r3(spark: SparkSession, d: str) -> DataFrame:
     """Replies as a classifier writes them, rebuilt from the members: a fenced answer after a draft."""
     from leakgauge.plans import prepare
 
-    m = table(spark, d, "members").filter("note_id IS NOT NULL").distinct()
+    m = table(spark, d, "members").filter("note_id IS NOT NULL AND blank IS NOT NULL AND category IS NOT NULL").distinct()
     item = F.format_string('{"%d": "%s"}', F.col("blank"), F.col("category"))
     replies = m.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set(item)), "\n").alias("objects"), F.max("blank").alias("n"))
     replies = replies.select("note_id", "n", F.concat(F.lit("<think>draft {\"1\": \"other\"}</think>Here:\n```json\n"), "objects", F.lit("\n```")).alias("reply"))
@@ -296,10 +315,10 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "personas").filter("note_id IS NOT NULL").select("note_id", X.strip_think(reply).alias("answer"))
 
 
-@register("R6_list_text", "SELECT vec_id, '['||array_to_string(list_transform(embedding[1:3], lambda x: round(x*1000)::BIGINT::VARCHAR), ', ')||']' AS tokens FROM embeddings")
+@register("R6_list_text", "SELECT vec_id, '['||array_to_string(list_transform(embedding, lambda x: round(x*1000)::BIGINT::VARCHAR), ', ')||']' AS tokens FROM embeddings")
 def r6(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", X.python_str_list(F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double") * 1000).cast("long"))).alias("tokens"))
+    return e.select("vec_id", X.python_str_list(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))).alias("tokens"))
 
 
 @register("R7_report_json", "SELECT pii_type, to_json({'pii_type': pii_type, 'n': count(*)::BIGINT, 'n_values': count(DISTINCT value)::BIGINT})::VARCHAR AS report FROM ll_train WHERE pii_type IS NOT NULL GROUP BY pii_type")

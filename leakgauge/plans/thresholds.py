@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leakgauge.operators.ranges import running
+from leakgauge.operators.scalars import with_scalars
 from leakgauge.functions.probability import extracted, finite, ratio
 
 TOLERANCE = 1e-12
@@ -14,18 +16,13 @@ TOLERANCE = 1e-12
 def tail_mass(neg: DataFrame, score: str, weight: str, by: list[str] = ()) -> DataFrame:
     """Per distinct score the weight at and above it and the group's whole weight.
 
-    Rows are summed per score first. Without ``by`` the running sum is taken
-    in two steps over ranges of the score, so no task sees every score.
+    Rows are summed per score first; the running sum is taken range by range.
     """
     g = neg.filter(F.col(weight) > 0).groupBy(*by, F.col(score).alias("score")).agg(F.sum(weight).alias("w"))
-    parts = g.withColumn("part", F.floor(F.col("score") * 256))
-    inside = Window.partitionBy(*by, "part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    # 257 parts per group: the second window sees so many rows
-    sums = parts.groupBy(*by, "part").agg(F.sum("w").alias("pw"))
-    across = Window.partitionBy(*by).orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    above = sums.withColumn("above", F.coalesce(F.sum("pw").over(across), F.lit(0.0))).withColumn("total", F.sum("pw").over(whole)).drop("pw")
-    return parts.withColumn("in_part", F.sum("w").over(inside)).join(above, [*by, "part"]).select(*by, "score", (F.col("in_part") + F.col("above")).alias("mass"), "total")
+    r = running(g, "score", ["w"], list(by))
+    total = r.groupBy(*by).agg(F.sum("w").alias("total"))
+    r = r.join(total, list(by)) if by else with_scalars(r, total)
+    return r.select(*by, "score", F.col("w_cum").alias("mass"), "total")
 
 
 def extracted_threshold(neg: DataFrame, score: str, weight: str, target: float = 0.05, by: list[str] = ()) -> DataFrame:

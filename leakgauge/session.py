@@ -26,11 +26,24 @@ def build_session(app: str = "leakgauge", cores: int | str = "*", **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, one of this process where it is unset (tests, a laptop)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a folder of this process serves a local master (tests, a
+    laptop); on a cluster that is an error, as executors would write to disks
+    of their own.
+    """
     sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given is None and sc.getCheckpointDir() is None and not is_local(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leakgauge-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="leakgauge-checkpoint-"))
+    return given or sc.getCheckpointDir()
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
 
 
 def stable(df: DataFrame) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from leakgauge.functions.draws import draw
 
+try:
+    import yaml
+except ImportError:
+    yaml = None
+
 # Patterns of run names in file names and folders.
 PROBABILITY_FILE = r"overall_proba_([^_/]+)_([^_/]+)_(\d+)\.csv"
 CURVE_FILE = r"theoretical_curves_tau_([\d.]+)\.csv"
@@ -17,8 +22,8 @@ RUN_FOLDER = r"([^/_]+)_([^/_]+)_([\d.]+)_(\d+)_([^/_]+)"
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Header, quoted line breaks; with ``columns`` the parser only builds those."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    """Header, quoted line breaks of any kind; with ``columns`` the parser only builds those. An empty field is NULL, ``""`` an empty text."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("lineSep", "\n").option("nullValue", None).option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return df.select(*[c for c in columns if c in df.columns]) if columns else df
 
@@ -61,9 +66,17 @@ def tau_of(path: Column) -> Column:
 
 
 def config(text: str, **values: object) -> dict:
-    """A JSON configuration whose string values are templates like ``{model}``."""
+    """A YAML or JSON configuration whose string values are templates like ``{model}``.
+
+    JSON needs nothing; YAML needs the ``yaml`` module, an error says so where it is missing. An empty text is an empty map.
+    """
     fill = lambda v: v.format(**values) if isinstance(v, str) else {k: fill(x) for k, x in v.items()} if isinstance(v, dict) else [fill(x) for x in v] if isinstance(v, list) else v
-    return fill(json.loads(text))
+    try:
+        return fill(json.loads(text))
+    except json.JSONDecodeError:
+        if yaml is None:
+            raise ImportError("a configuration in YAML needs the yaml module; JSON needs none") from None
+        return fill(yaml.safe_load(text) or {})
 
 
 COMPLAINTS = ("cough", "fever", "fatigue", "back pain", "rash", "headache", "nausea", "swelling", "palpitations", "dizziness", "sore throat", "cramps")

@@ -13,16 +13,17 @@ from leakgauge.functions.text import python_str_list
 REPORT_ROWS = 10_000
 
 
-def parquet(df: DataFrame, path: str, mode: str = "overwrite", by: list[str] = ()) -> None:
-    """K1, K5: one file per task and partition value, rows flushed by the task's writer."""
+def parquet(df: DataFrame, path: str, mode: str = "overwrite", by: list[str] = (), rows_per_file: int = 0) -> None:
+    """K1, K5: one file per task and partition value, rows flushed by the task's writer; ``rows_per_file`` at most to a file."""
     w = df.write.mode(mode)
+    w = w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
 def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2, K6: header; arrays are written the way a list prints. ``mode='ignore'`` keeps what is there."""
     flat = df.select(*[python_str_list(F.col(f"`{c}`")).alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes])
-    flat.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    flat.write.mode(mode).option("header", True).option("escape", '"').option("lineSep", "\n").option("nullValue", None).option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "overwrite", per_file: int = 0) -> None:

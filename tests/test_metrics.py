@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakgauge.functions import probability as M
+from leakgauge.operators import ranges
 from leakgauge.operators.quantiles import exact_quantiles
 from leakgauge.plans import curves as C
 from leakgauge.plans import metrics as K
@@ -134,6 +135,52 @@ def test_bootstrap(spark):
     rng = np.random.default_rng(1)
     lo, hi = np.percentile([np.median(rng.choice(values, 1000)) for _ in range(500)], [2.5, 97.5])
     assert abs(r.lo - lo) < 15 and abs(r.hi - hi) < 15
+    a = R.rank_interval(df, "x", ["g"]).first()
+    assert a.n == r.n == 1000 and abs(a.lo - lo) < 15 and abs(a.hi - hi) < 15
+    assert R.bootstrap_quantile(df.limit(0), "x", ["g"]).count() == 0
+    one = R.bootstrap_quantile(spark.createDataFrame([("g", 3.0), ("h", None)], "g string, x double"), "x", ["g"]).collect()
+    assert [(r.g, r.n, r.lo, r.hi) for r in one] == [("g", 1, 3.0, 3.0)]
+
+
+@pytest.mark.parametrize("n, share", [(7, 0.5), (40, 0.5), (40, 0.9), (3, 0.25)])
+def test_resampled_ranks_have_the_law_of_a_resample(n, share):
+    low, high, weight = R.resampled_ranks(n, share, 20000, 1)
+    rng = np.random.default_rng(5)
+    rows = np.sort(rng.integers(0, n, (20000, n)), axis=1)
+    k = int(np.floor(share * (n - 1)))
+    want_low, want_high = rows[:, k], rows[:, min(k + 1, n - 1)]
+    for got, want in ((low, want_low), (high, want_high), (high - low, want_high - want_low)):
+        assert abs(np.mean(got) - np.mean(want)) < 0.05 * n**0.5 and abs(np.std(got) - np.std(want)) < 0.05 * n**0.5
+    assert weight == pytest.approx(share * (n - 1) - k) and (high >= low).all()
+
+
+def skewed(spark, n=20000):
+    rng = np.random.default_rng(4)
+    heavy = np.exp(rng.normal(0, 4, n))
+    ends = np.where(rng.random(n) < 0.5, rng.random(n) * 1e-6, 1 - rng.random(n) * 1e-6)
+    return spark.createDataFrame([(int(i), float(a), float(b), int(i % 3 == 0)) for i, (a, b) in enumerate(zip(heavy, ends, strict=True))], "id int, heavy double, ends double, y_true int")
+
+
+@pytest.mark.parametrize("column", ["heavy", "ends"])
+def test_no_range_holds_much_of_skewed_values(spark, column):
+    df = skewed(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r["count"] for r in ranges.in_ranges(df, [F.col(column)]).groupBy("__range").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) >= 4 and max(parts) < 2.5 * 20000 / len(parts)
+    values = np.array([r[0] for r in df.select(column).collect()])
+    got = exact_quantiles(df, column, [], {"m": 0.5, "q": 0.975, "z": 0.0}).first()
+    assert np.allclose([got.m, got.q, got.z], np.quantile(values, [0.5, 0.975, 0.0]))
+
+
+def test_running_sums_against_numpy(spark):
+    df = skewed(spark, 3000)
+    got = {r.id: r.y_true_cum for r in ranges.running(df, "ends", ["y_true"]).collect()}
+    rows = sorted(df.collect(), key=lambda r: -r.ends)
+    assert [got[r.id] for r in rows] == np.cumsum([r.y_true for r in rows]).tolist()
+    assert ranges.running(df.limit(0), "ends", ["y_true"]).count() == 0
 
 
 def test_verifier_matches_a_numpy_newton_solution(spark):

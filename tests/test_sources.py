@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from leakgauge import schemas
+from leakgauge import schemas, session
 from leakgauge.operators import select as S
 from leakgauge.plans import features as T
 from leakgauge.plans import registry as G
@@ -88,3 +88,38 @@ def test_streamed_candidates(spark, tmp_path):
     q = extracted.window_counts(stream, known, "value", "time").writeStream.format("memory").queryName("windows").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.groundtruth, r.n) for r in spark.sql("select groundtruth, n from windows").collect()} == {("train", 1), ("other", 1)}
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    rows = [("a", "x\r\ny"), ("b", ""), ("c", None), ("d", 'q"uo\\te"'), ("e", "\r"), ("f", " pad "), ("g", "\n"), ("h", "null"), ("i", "\\"), ("j", ","), ("k", '""')]
+    sinks.csv(spark.createDataFrame(rows, "id string, note string"), str(tmp_path / "t"))
+    assert {(r.id, r.note) for r in readers.csv(spark, str(tmp_path / "t"), "id string, note string").collect()} == set(rows)
+
+
+def test_configuration_in_yaml_and_json(monkeypatch):
+    text = "# c\npath: 'runs/{m}'\nrates: [0.1, 2]\nlist:\n  - name: x\n    on: true\n"
+    want = {"path": "runs/s", "rates": [0.1, 2], "list": [{"name": "x", "on": True}]}
+    assert readers.config('{"path": "runs/{m}", "n": [1, "{m}"]}', m="s") == {"path": "runs/s", "n": [1, "s"]}
+    if readers.yaml is not None:
+        got = readers.config(text, m="s")
+        assert got["path"] == want["path"] and got["rates"] == want["rates"] and got["list"][0]["name"] == "x" and readers.config("", m=1) == {}
+    monkeypatch.setattr(readers, "yaml", None)
+    with pytest.raises(ImportError, match="YAML"):
+        readers.config(text, m="s")
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    assert session.is_local("local") and session.is_local("local[4]") and not session.is_local("local-cluster[3,2,1024]") and not session.is_local("spark://host:7077")
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
