@@ -13,6 +13,7 @@ invisible characters becomes empty. Case, accents and digits are kept.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -38,10 +39,28 @@ IGNORABLE_OTHER = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0} | set(
 SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 SWITCH_PRICE = 14.0
-WORD = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*(?:[̀-ͯ]+[^\W\d_]*)*")
 MEMO_LIMIT = 400_000
 
 
+def _letters() -> str:
+    """Letters of the basic plane as ranges of a character class, which is searched faster than a category."""
+    ranges, start = [], None
+    for o in range(0x10001):
+        inside = o < 0x10000 and chr(o).isalnum() and not chr(o).isdecimal()
+        if inside and start is None:
+            start = o
+        elif not inside and start is not None:
+            ranges.append(f"\\u{start:04x}-\\u{o - 1:04x}")
+            start = None
+    return "".join(ranges)
+
+
+# a word is letters and marks on them; characters beyond the basic plane have no look-alikes here and part words
+_CLASS = _letters()
+WORD = re.compile(f"[{_CLASS}]+(?:[̀-ͯ]+[{_CLASS}]*)*")
+_WORDS, _ASCII_WORDS = re.compile(f"({WORD.pattern})"), re.compile("([A-Za-z]+)")
+
+
 def script_of(ch: str) -> str:
     """``L``, ``C`` or ``G`` for Latin, Cyrillic and Greek letters, ``?`` for the rest."""
     o = ord(ch)
@@ -83,6 +102,29 @@ class _Plain(dict):
         return out
 
 
+_PLAIN = _Plain()
+
+
+@functools.cache
+def _special() -> re.Pattern:
+    """Characters that change otherwise than by canonical decomposition; whole planes without letters of the given texts are looked up one by one."""
+    odd = [o for o in (*range(0x80, 0xD800), *range(0xE000, 0x20000)) if _PLAIN[o] != unicodedata.normalize("NFD", chr(o))]
+    ranges, start = [], None
+    for k, o in enumerate(odd):
+        start = o if start is None else start
+        if k + 1 == len(odd) or odd[k + 1] != o + 1:
+            ranges.append(f"{re.escape(chr(start))}-{re.escape(chr(o))}")
+            start = None
+    return re.compile("[" + "".join(ranges) + "\t\U00020000-\U0010ffff]")
+
+
+def plain_text(text: str) -> str:
+    """Width, blanks, ligatures and ignorable characters made plain, marks apart from their letters."""
+    if text.isascii():
+        return text.replace("\t", " ") if "\t" in text else text
+    return unicodedata.normalize("NFD", _special().sub(lambda m: _PLAIN[ord(m[0])], text))
+
+
 class Model:
     """Bigram log probabilities by script; ``counts`` maps (script, left, right) to a number."""
 
@@ -123,37 +165,40 @@ def search(letters: str, model: Model) -> str:
     return max(((score + model.score(s, path[-1], "$"), path) for score, s, path in states), key=lambda x: x[0])[1]
 
 
-class Normalizer:
-    """Applies one model; keeps the words it has resolved, up to a fixed number."""
+class _Resolved(dict):
+    """Words and their consistent form, each resolved when it is first asked for; up to a fixed number is kept."""
 
     def __init__(self, model: Model):
-        self.model, self.plain, self.memo = model, _Plain(), {}
-
-    def word(self, m: re.Match) -> str:
-        w = m[0]
-        out = self.memo.get(w)
-        if out is None:
-            if not _SHARED.search(w):
-                out = w
-            else:
-                base = [c for c in w if not unicodedata.combining(c)]
-                found = iter(search("".join(base), self.model))
-                out = "".join(c if unicodedata.combining(c) else next(found) for c in w)
-            if len(self.memo) >= MEMO_LIMIT:
-                self.memo.clear()
-            self.memo[w] = out
+        self.model = model
+
+    def __missing__(self, w: str) -> str:
+        if not _SHARED.search(w):
+            out = w
+        else:
+            base = [c for c in w if not unicodedata.combining(c)]
+            found = iter(search("".join(base), self.model))
+            out = "".join(c if unicodedata.combining(c) else next(found) for c in w)
+        if len(self) >= MEMO_LIMIT:
+            self.clear()
+        self[w] = out
         return out
 
+
+class Normalizer:
+    """Applies one model."""
+
+    def __init__(self, model: Model):
+        self.words = _Resolved(model)
+
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return None
-        if not text.isascii():
-            text = unicodedata.normalize("NFD", text.translate(self.plain))
-        elif "\t" in text:
-            text = text.replace("\t", " ")
+        text = plain_text(text)
         if "\r" in text:
             text = text.replace("\r\n", "\n")
-        text = WORD.sub(self.word, text)
+        parts = (_ASCII_WORDS if text.isascii() else _WORDS).split(text)  # every second part is a word
+        parts[1::2] = map(self.words.__getitem__, parts[1::2])
+        text = "".join(parts)
         return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
@@ -171,7 +216,7 @@ def fit(df: DataFrame, text: str) -> Model:
     ship(df.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, total, words = _Plain(), Counter(), Counter()
+        total, words = Counter(), Counter()
 
         def flush() -> None:
             for w, n in words.items():
@@ -183,7 +228,7 @@ def fit(df: DataFrame, text: str) -> Model:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    words.update(WORD.findall(t if t.isascii() else unicodedata.normalize("NFD", t.translate(plain))))
+                    words.update((_ASCII_WORDS if t.isascii() else WORD).findall(plain_text(t)))
             if len(words) > MEMO_LIMIT:
                 flush()
         flush()
