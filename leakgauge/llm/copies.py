@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leakgauge.llm.forms import canonical, kind_of
+from leakgauge.llm.forms import kind_of, with_form
 from leakgauge.session import stable
 
 #: Forms are numbered inside so many hash buckets, so that no task sees all of them.
@@ -47,7 +47,7 @@ def collapse(df: DataFrame, value: str, pii_type: str | None = None) -> DataFram
     base = df.select(F.col(value).alias("value"), (F.col(pii_type) if pii_type else F.lit(None).cast("string")).alias("pii_type")).filter(F.col("value").isNotNull())
     counted = base.groupBy("pii_type", "value").agg(F.count(F.lit(1)).alias("n"))
     kind = kind_of(F.col("value"), F.col("pii_type") if pii_type else None)
-    formed = counted.withColumn("__kind", kind).withColumn("form", canonical(F.col("value"), F.col("__kind"))).filter("form IS NOT NULL")
+    formed = with_form(counted.withColumn("__kind", kind), F.col("value"), F.col("__kind"), "form")
     formed = formed.withColumn("__bucket", F.pmod(F.xxhash64("form", "__kind"), F.lit(BUCKETS)).cast("int"))
     coded = formed.withColumn("__number", F.dense_rank().over(Window.partitionBy("__bucket").orderBy("form", "__kind")))
     if not pii_type:

@@ -11,7 +11,7 @@ makes an e-mail address, no letter at all a number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Types whose digits alone count, and the type of e-mail addresses.
@@ -29,11 +29,12 @@ def kind_of(value: Column, pii_type: Column | None = None) -> Column:
     return F.when(pii_type.isNull(), by_form).when(pii_type.isin(*NUMBER_TYPES), "number").when(pii_type.isin(*EMAIL_TYPES), "email").otherwise("words")
 
 
-def canonical(value: Column, kind: Column) -> Column:
-    """The canonical form, NULL where there is none."""
-    words = F.array_join(F.array_sort(F.regexp_extract_all(F.lower(value), F.lit(WORD_PATTERN), 0)), " ")
+def with_form(df: DataFrame, value: Column, kind: Column, out: str) -> DataFrame:
+    """The rows with a canonical form, in the column ``out``. As a generator it is evaluated once, also where rows are filtered by it."""
+    words = F.array_join(F.sort_array(F.regexp_extract_all(F.lower(value), F.lit(WORD_PATTERN), 0)), " ")
     form = F.when(kind == "number", F.regexp_replace(value, r"\P{Nd}", "")).when(kind == "email", F.regexp_replace(F.lower(value), r"[^\p{L}\p{M}\p{Nd}]", "")).otherwise(words)
-    return F.when(value.isNull() | value.rlike(BRACKETED), None).otherwise(F.nullif(form, F.lit("")))
+    form = F.when(value.isNull() | value.rlike(BRACKETED), None).otherwise(form)
+    return df.select("*", F.explode(F.filter(F.array(form), lambda x: x != "")).alias(out))
 
 
 def sql_form(value: str, pii_type: str | None = None) -> str:

@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakgauge.llm.forms import canonical, kind_of
+from leakgauge.llm.forms import kind_of, with_form
 from leakgauge.session import ship, stable
 
 EDGE = 3
 #: Patterns or texts that one shard's task should hold.
-SHARD_ROWS = 120_000
+SHARD_ROWS = 1_000_000
 MATCH_SCHEMA = "pii_type string, form string, exact boolean, near boolean, intervals array<struct<s:int,e:int>>"
 #: Ways a text can match: whole; a word of one letter left out; first half, last half of one word.
 WHOLE, LESS, HEAD, TAIL = range(4)
@@ -72,13 +72,14 @@ def comparable(evaluated: str, trained: str) -> bool:
 def _sent(records: DataFrame, near_types: list[str], train: bool) -> DataFrame:
     """shard key, pii_type, form and codes (word number * 4 + way) of every way a record can match; built-in expressions, row by row."""
     words = F.split("form", " ")
-    key = lambda others, way, edge: F.xxhash64(F.col("pii_type"), others, F.lit(way), edge)
+    # a hash runs on from word to word, so it is the same wherever the other words are parted
+    key = lambda before, behind, way, edge: F.xxhash64(F.col("pii_type"), before, behind, F.lit(way), edge)
     entry = lambda k, way, h: F.struct(h.alias("key"), (k * 4 + way).cast("int").alias("code"))
     none = F.array().cast("array<struct<key:bigint,code:int>>")
 
     def of_word(w: Column, k: Column) -> Column:
         n = F.length(w)
-        others = F.array_join(F.filter(words, lambda _, i: i != k), " ")
+        others = F.slice(words, F.lit(1), k), F.slice(words, k + 2, F.size(words))
         if train:
             # the evaluation word has one letter less, as many or one more; a word of digits has no letter to lose or replace
             sizes = lambda *steps: F.array(*(F.greatest(n + d, F.lit(1)) for d in steps))
@@ -86,13 +87,13 @@ def _sent(records: DataFrame, near_types: list[str], train: bool) -> DataFrame:
         else:
             evals = F.array(n)
         reach = lambda half: F.array_distinct(F.transform(evals, lambda x: F.least(half(x).cast("int"), F.lit(EDGE), n)))
-        heads = F.transform(reach(lambda x: F.floor(x / 2)), lambda h: entry(k, HEAD, key(others, HEAD, F.concat(h.cast("string"), F.substring(w, F.lit(1), h)))))
-        tails = F.transform(reach(lambda x: F.ceil(x / 2)), lambda h: entry(k, TAIL, key(others, TAIL, F.concat(h.cast("string"), F.right(w, h)))))
+        heads = F.transform(reach(lambda x: F.floor(x / 2)), lambda h: entry(k, HEAD, key(*others, HEAD, F.concat(h.cast("string"), F.substring(w, F.lit(1), h)))))
+        tails = F.transform(reach(lambda x: F.ceil(x / 2)), lambda h: entry(k, TAIL, key(*others, TAIL, F.concat(h.cast("string"), F.right(w, h)))))
         # a text less a word of one letter may be a whole text of the other side
-        lone = F.when((n == 1) & (F.size(words) > 1) & w.rlike(r"\p{L}"), F.array(entry(k, LESS, key(others, WHOLE, F.lit(""))))).otherwise(none)
+        lone = F.when((n == 1) & (F.size(words) > 1) & w.rlike(r"\p{L}"), F.array(entry(k, LESS, key(*others, WHOLE, F.lit(""))))).otherwise(none)
         return F.concat(heads, tails, lone)
 
-    whole = F.array(entry(F.lit(0), WHOLE, key(F.col("form"), WHOLE, F.lit(""))))
+    whole = F.array(entry(F.lit(0), WHOLE, key(words, F.array().cast("array<string>"), WHOLE, F.lit(""))))
     near = F.when(F.col("pii_type").isin(near_types), F.flatten(F.transform(words, of_word))).otherwise(none)
     return records.select("pii_type", "form", F.concat(whole, near).alias("ways"))
 
@@ -243,13 +244,14 @@ def eval_overlaps(df: DataFrame, id_col: str, value: str, pii_type: str, split:
     exact and near are false where no training row is the same or one letter away.
     """
     t = F.col(pii_type)
-    tagged = df.withColumn("__side", split_side(F.col(split))).withColumn("__form", canonical(F.col(value), kind_of(F.col(value), t))).filter(t.isNotNull() & F.col("__form").isNotNull())
+    sided = df.withColumn("__side", split_side(F.col(split))).filter(t.isNotNull())
     on_eval, on_train = F.col("__side").isin(*eval_splits), F.col("__side") == train_split
+    formed = lambda rows: with_form(rows, F.col(value), kind_of(F.col(value), t), "__form")
     # one scan gives the distinct texts of both sides
-    both = stable(tagged.filter(on_eval | on_train).select(t.alias("pii_type"), F.col("__form").alias("form"), on_train.alias("train")).distinct())
+    both = stable(formed(sided.filter(on_eval | on_train)).select(t.alias("pii_type"), F.col("__form").alias("form"), on_train.alias("train")).distinct())
     side = lambda train: both.filter(F.col("train") == train).select("pii_type", "form")
     found = matched_forms(side(False), side(True), list(near_types))
-    rows = tagged.filter(on_eval).select(F.col(id_col), F.col("__side").alias("split"), t.alias("pii_type"), *[F.col(c) for c in keep], F.col("__form").alias("form"))
+    rows = formed(sided.filter(on_eval)).select(F.col(id_col), F.col("__side").alias("split"), t.alias("pii_type"), *[F.col(c) for c in keep], F.col("__form").alias("form"))
     out = rows.join(found, ["pii_type", "form"], "left")
     return out.select(id_col, "split", "pii_type", *keep, F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
