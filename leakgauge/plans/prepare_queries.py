@@ -131,7 +131,10 @@ def c39(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "notes").filter("note IS NOT NULL").select("note_id", "storetime", F.md5(t).alias("text_md5"))
 
 
-@register("D8_registry")
+@register("D8_registry", """SELECT * FROM (VALUES
+ ('name', 'name-patient', 'name', 'first_two_words', 20, ['Name: ', 'Patient: '], ['Name:']), ('attending', 'name-attending', 'physician_name', 'first_two_words', 20, ['Attending: ', 'Dr. '], ['Attending:']),
+ ('mrn', 'id', 'unit_no', 'digits', 12, ['MRN: ', 'Unit No: '], ['MRN:', 'Unit No:']), ('address', 'address', 'address', 'line', 40, ['Address: '], ['Address:', 'Mailing Address:', 'Address on file:']),
+ ('phone', 'phone', 'phone', 'line', 12, ['Phone: '], ['Phone:']), ('email', 'email', 'email', 'word', 16, ['Email: '], ['Email:'])) v(name, category, persona_field, parser, max_new_tokens, prompts, labels)""")
 def d8(spark: SparkSession, d: str) -> DataFrame:
     return D.registry(spark)
 

@@ -14,7 +14,7 @@ from leakgauge.plans import metrics as K
 from leakgauge.plans import risk as R
 from leakgauge.plans.inputs import COMPLETIONS, SCORED, completions, scored
 from leakgauge.plans.metric_queries import C22_COUNTS, sweep
-from leakgauge.plans.text_queries import sql_first_two, sql_title
+from leakgauge.plans.text_queries import sql_first_two, sql_strip, sql_title, sql_tokens
 from leakgauge.session import stable
 from leakgauge.sources.tables import table
 
@@ -159,6 +159,32 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return E.with_groundtruth(seen, E.labels(table(spark, d, "labeled"), "name")).select("value", "groundtruth")
 
 
+def _parse_sql(x: str) -> str:
+    breaks = r"'\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]'"
+    line = f"coalesce(list_filter(list_transform(regexp_split_to_array({x}, {breaks}), lambda y: {sql_strip('y')}), lambda y: y <> '')[1], '')"
+    return f"CASE WHEN pii_type LIKE 'name-%' THEN {sql_title(sql_first_two(x))} WHEN pii_type = 'unit_no' THEN regexp_extract({x}, '(\\d+)', 1) WHEN pii_type = 'email' THEN ({sql_tokens(x)})[1] ELSE {line} END"
+
+
+#: Identifier types of the log and the registry's name of each.
+LOG_TYPES = {"name-patient": "name", "name-attending": "attending", "unit_no": "mrn", "address": "address", "phone": "phone", "email": "email"}
+
+
+@register("W3_J12_all_types", f"""WITH c AS (SELECT pii_type, row_id AS query_idx, ' ' || value AS x FROM ll_train WHERE pii_type IS NOT NULL AND value IS NOT NULL),
+ p AS (SELECT pii_type, query_idx, x, {_parse_sql('x')} AS cand FROM c), k AS (SELECT * FROM p WHERE cand <> '' AND (pii_type NOT LIKE 'name-%' OR instr(lower(x), lower(cand)) = 2)),
+ s AS (SELECT pii_type, cand AS value, min(query_idx) AS first_seen, count(*)::BIGINT AS hits FROM k GROUP BY ALL),
+ e AS (SELECT t.pii_type, entry, label FROM labeled, (SELECT DISTINCT pii_type FROM c) t WHERE entry IS NOT NULL AND label IS NOT NULL), l AS (SELECT pii_type, {_parse_sql('entry')} AS v, max(label) AS label FROM e GROUP BY ALL)
+ SELECT s.pii_type, value, first_seen, hits, CASE WHEN label = 1 THEN 'train' WHEN label = 0 THEN 'val' ELSE 'other' END AS groundtruth FROM s LEFT JOIN l ON l.pii_type = s.pii_type AND l.v = s.value""")
+def w3_all(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of every identifier type, each by its own parser."""
+    log = table(spark, d, "ll_train").filter("value IS NOT NULL").select("pii_type", F.col("row_id").alias("query_idx"), F.concat(F.lit(" "), "value").alias("completion"))
+    out = None
+    for pii_type, di in LOG_TYPES.items():
+        seen = E.first_seen(E.candidates(log.filter(F.col("pii_type") == pii_type), "completion", di))
+        one = E.with_groundtruth(seen, E.labels(table(spark, d, "labeled"), di)).select(F.lit(pii_type).alias("pii_type"), "value", "first_seen", "hits", "groundtruth")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _C16 = _EXPERIMENT + """, n AS (SELECT max(query_idx) + 1 AS n_gen FROM completions), m AS (SELECT count(*) AS total FROM lab WHERE label = 1 AND v <> ''),
  b AS (SELECT DISTINCT least(q, n_gen)::BIGINT AS q FROM n, (SELECT unnest([1000, 3000, 100000, 1000000]) AS q)),
  g AS (SELECT q, count(*)::BIGINT AS n_candidates, sum((groundtruth='train' AND score>=0.5)::INTEGER)::BIGINT AS tp, sum((groundtruth<>'train' AND score>=0.5)::INTEGER)::BIGINT AS fp, sum((groundtruth='train' AND score<0.5)::INTEGER)::BIGINT AS fn, sum((groundtruth<>'train' AND score<0.5)::INTEGER)::BIGINT AS tn FROM u, b WHERE first_seen < q GROUP BY q)"""
